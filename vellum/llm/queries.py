@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, decontaminate, html, langid, linededup, simhash
 from .common import small_batches, table
 
 
@@ -29,8 +29,45 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def fold() -> Column:
+    """The remainder that deals documents into five folds; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+
+
+def learned_from() -> Column:
+    return F.coalesce(fold() != 0, F.lit(False))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    count = lambda c: F.regexp_count(c, F.lit("\n")) + F.when(c == "", 0).otherwise(1)
+    before, after = count(F.col("row.text")), count(F.col("kept"))
+    return found.select("row.doc_id", before.cast("long").alias("n_lines"), (before - after).cast("long").alias("n_removed"), F.col("kept").alias("text"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs, learned_from()))
+    return found.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.to_json("shares").alias("shares"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}

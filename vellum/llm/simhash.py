@@ -132,3 +132,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_co
     least = scratch.write(roots.groupBy("root").agg(F.min("least").alias("component")), "least")
     classes = scratch.write(roots.join(least, "root").select("fp", "component"), "classes")
     return fps.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, all columns as they are, less those whose component has an earlier row.
+
+    The earliest has the least id (null ids last); among rows that repeat an id, the least text hash; one of equal rows stays."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = near_duplicates(docs.select(F.struct(F.col(quoted(id_col)).isNull().alias("n"), F.col(quoted(id_col)).alias("i"), F.xxhash64(F.col(quoted(text_col))).alias("h")).alias("place"), F.col(quoted(text_col)).alias("text")), width, radius, "place", "text")
+    places = scratch.write(found.select("place", "component"), "places")
+    gone = scratch.write(places.where(F.col("place") != F.col("component")).select("place.*").distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).alias("k"), F.xxhash64(F.col(quoted(text_col))).alias("th"))
+    kept = rows.join(gone, rows["k"].eqNullSafe(gone["i"]) & (rows["th"] == gone["h"]), "left_anti")
+    # What is left of a component is the rows that share its first place: copies of one row under one id.
+    twice = scratch.write(places.groupBy("place").count().where("count > 1").select("place.*"), "twice")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    again = kept.join(twice, kept["k"].eqNullSafe(twice["i"]) & (kept["th"] == twice["h"]), "left_semi")
+    single = kept.join(twice, kept["k"].eqNullSafe(twice["i"]) & (kept["th"] == twice["h"]), "left_anti")
+    one = again.groupBy("k", "th").agg(F.first("row").alias("row"))
+    return single.select("row.*").unionAll(one.select("row.*"))
