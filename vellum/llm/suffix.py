@@ -28,7 +28,7 @@ from .common import Scratch, quoted, slices
 
 LENGTH, GRAM = 200, 40
 #: Context bytes that one block should hold.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: Contexts of one key beyond which its positions are counted one by one.
 CLASS = 20_000
 #: Starts of one text that are looked at together; below 2^16, as offsets share a word with hashes.
