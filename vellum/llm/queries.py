@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, licences, linededup, pii, simhash, suffix
+from . import bpe, decontaminate, html, langid, licences, linededup, pii, search, simhash, suffix
 from .common import small_batches, table
 
 
@@ -46,6 +46,12 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 asks; all documents answer."""
+    small_batches(spark)
+    return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     count = lambda c: F.regexp_count(c, F.lit("\n")) + F.when(c == "", 0).otherwise(1)
@@ -87,6 +93,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_topk_search": op3_topk_search,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_licence_scan": op6_licence_scan,
