@@ -1,5 +1,11 @@
 """Every registered query with its oracle."""
 
+from . import documents, events, retrieval, surface, text
+
+MODULES = (text, documents, retrieval, surface, events)
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
 FLAGSHIP = "hybrid_pages"

@@ -142,7 +142,7 @@ _md = "CASE WHEN length(line) < 40 THEN '## ' || line WHEN contains(line, ' | ')
     c AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM h),
     f AS (SELECT *, last_value(CASE WHEN kind IN ('table', 'text') THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, head ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c),
     b AS (SELECT *, sum(CASE WHEN kind = 'heading' OR (kind IN ('table', 'text') AND (prev IS DISTINCT FROM kind OR (kind = 'table' AND before = 'blank'))) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM f WHERE kind <> 'blank'),
-    t AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN regexp_replace(line, '^#+\\s+', '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS title FROM b)
+    t AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^#+\\s+', ''), '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '_(.+?)_', '\\1', 'g'), '\\*(.+?)\\*', '\\1', 'g')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS title FROM b)
     SELECT doc_id, min(n)::BIGINT AS first_line, count(*)::BIGINT AS n_lines, max(kind) AS kind, coalesce(CASE WHEN max(kind) = 'table' THEN '[Table on page 1]' ELSE max(title) END, '[body]') AS title FROM t GROUP BY doc_id, block"""
 )
 def markdown_sections(spark, sf_dir):
