@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import Scratch, quoted
 
@@ -27,7 +28,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select("id", "th", F.posexplode(hashed).alias("pos", "h")).where(F.col("h").isNotNull()).select("id", "th", "pos", "h.h1", "h.h2")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without(text: pd.Series, starts: pd.Series) -> pd.Series:
     """Texts without the lines that windows from these starts cover; null where there is nothing to do."""
     out = []
