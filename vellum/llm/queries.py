@@ -102,4 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {}
+_WINDOWS = "SELECT doc_id, h, i, w FROM (SELECT doc_id, md5(text) AS h, l, unnest(range(1, len(l) - 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)) t, LATERAL (SELECT l[i] || chr(10) || l[i+1] || chr(10) || l[i+2] AS w) WHERE trim(l[i] || l[i+1] || l[i+2]) <> ''"
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": f"""WITH w AS MATERIALIZED ({_WINDOWS}), r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM w),
+    gone AS (SELECT DISTINCT doc_id, i + j AS p FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents)
+    SELECT l.doc_id, CASE WHEN count(*) = 1 AND max(line) = '' THEN 0 ELSE count(*) END::BIGINT AS n_lines, (CASE WHEN count(*) = 1 AND max(line) = '' THEN 0 ELSE count(*) END - CASE WHEN count(*) FILTER (g.p IS NULL) = 1 AND max(line) FILTER (g.p IS NULL) = '' THEN 0 ELSE count(*) FILTER (g.p IS NULL) END)::BIGINT AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY l.p) FILTER (g.p IS NULL), '') AS text FROM l LEFT JOIN gone g USING (doc_id, p) GROUP BY l.doc_id""",
+}
