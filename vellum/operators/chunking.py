@@ -39,32 +39,32 @@ def sections_of(documents: DataFrame) -> DataFrame:
 def chunked(documents: DataFrame) -> DataFrame:
     """Rows of chunks: document_key, document_name, doc_type, page_number, section, chunk_type, parent_id, ordinal, content,
     enriched_content, start_line, end_line, lines, id."""
-    s = sections_of(documents)
+    s = sections_of(documents).withColumnRenamed("section", "sec")
     kind = F.coalesce("doc_type", F.lit("general"))
     paper, contract = F.contains(kind, F.lit("research_paper")), kind == "contract"
-    body = T.normalize(F.col("section.content"))
-    title = F.coalesce("section.title", F.lit(""))
-    first_line = F.lower(T.strip(F.substring_index(T.strip(F.coalesce("section.content", F.lit(""))), "\n", 1)))
-    skipped = paper & (F.lower(T.strip(title)).isin(*T.SKIPPED_SECTIONS) | first_line.isin(*T.SKIPPED_SECTIONS) | ((F.col("page_number") == 1) & (F.col("section.level") == 1) & F.lower(F.coalesce("section.content", F.lit(""))).rlike(T.FRONT_MATTER)))
+    body = T.normalize(F.col("sec.content"))
+    title = F.coalesce("sec.title", F.lit(""))
+    first_line = F.lower(T.strip(F.substring_index(T.strip(F.coalesce("sec.content", F.lit(""))), "\n", 1)))
+    skipped = paper & (F.lower(T.strip(title)).isin(*T.SKIPPED_SECTIONS) | first_line.isin(*T.SKIPPED_SECTIONS) | ((F.col("page_number") == 1) & (F.col("sec.level") == 1) & F.lower(F.coalesce("sec.content", F.lit(""))).rlike(T.FRONT_MATTER)))
     prefix = F.when(title == "", "").when(paper, F.concat(F.lit("[Section: "), title, F.lit("] "))).when(contract, F.concat(F.lit("[Clause: "), title, F.lit("] "))).otherwise(F.concat(F.lit("["), title, F.lit("] ")))
     named = s.where(~skipped).select(
-        "document_key", "document_name", "title", kind.alias("doc_type"), "page_number", "s_idx", "section", paper.alias("paper"), contract.alias("contract"), body.alias("body"), prefix.alias("prefix"),
+        "document_key", "document_name", "title", kind.alias("doc_type"), "page_number", "s_idx", "sec", paper.alias("paper"), contract.alias("contract"), body.alias("body"), prefix.alias("prefix"),
         F.when(paper | contract | (title != ""), title).otherwise(F.concat(F.lit("Page "), F.col("page_number").cast("string"))).alias("section_name"),
         F.concat("document_key", F.lit(":p"), F.col("page_number").cast("string"), F.lit("_s"), F.col("s_idx").cast("string")).alias("parent_id"),
     )
-    is_table = F.col("section.section_type") == "table"
-    is_image = F.col("paper") & (F.col("section.section_type") == "image")
+    is_table = F.col("sec.section_type") == "table"
+    is_image = F.col("paper") & (F.col("sec.section_type") == "image")
     plain = ~is_table & ~is_image
     stub = F.col("paper") & (F.length("body") < PARENT_MIN) & T.is_heading_stub(F.col("body"))
     full = named.where(~plain | ((F.length("body") >= T.CHILD_MIN) & ~stub))
     # Only bodies that are cut by characters go to the UDF.
     short_clause = F.col("contract") & (F.floor(F.length("body") / 4) <= T.CHILD_MAX)
-    listed = F.col("section.section_type") == "list"
+    listed = F.col("sec.section_type") == "list"
     split = full.withColumn("cut", recursive_split(F.when(plain & ~short_clause & ~listed, F.col("body"))))
     pieces = F.when(short_clause, F.array("body")).when(listed, folds.packed_list(F.col("body"))).otherwise(F.col("cut"))
     fit = F.filter(F.transform(pieces, T.normalize), lambda c: (F.length(c) >= T.CHILD_MIN) & ~(F.col("paper") & T.is_duplicate_child(F.col("body"), c)))
     kids = F.when(short_clause, F.array("body")).when(F.col("paper") & (F.size(fit) == 0), F.array("body")).otherwise(fit)
-    lines = F.col("section.lines")
+    lines = F.col("sec.lines")
     start, stop = _line_range(lines)
     chunk = lambda kind, parent, text, lines, a, b: F.struct(F.lit(kind).alias("chunk_type"), parent.alias("parent_id"), text.alias("content"), lines.alias("lines"), a.alias("start_line"), b.alias("end_line"))
 
@@ -74,9 +74,9 @@ def chunked(documents: DataFrame) -> DataFrame:
 
     zero, none = F.lit(0), F.lit(None).cast("string")
     page = F.col("page_number").cast("string")
-    table_text = F.concat(F.when(F.col("paper"), F.concat(F.lit("[Table on page "), page, F.lit("] "))).otherwise("[Table] "), F.col("section.content"))
+    table_text = F.concat(F.when(F.col("paper"), F.concat(F.lit("[Table on page "), page, F.lit("] "))).otherwise("[Table] "), F.col("sec.content"))
     every = (
-        F.when(is_image, F.array(chunk("child", none, F.concat(F.lit("[Figure on page "), page, F.lit("]: "), F.col("section.content")), lines, zero, zero)))
+        F.when(is_image, F.array(chunk("child", none, F.concat(F.lit("[Figure on page "), page, F.lit("]: "), F.col("sec.content")), lines, zero, zero)))
         .when(is_table, F.array(chunk("child", F.col("parent_id"), table_text, lines, zero, zero)))
         .otherwise(F.concat(F.array(chunk("parent", F.col("parent_id"), F.concat("prefix", "body"), lines, start, stop)), F.transform(kids, child)))
     )

@@ -5,8 +5,10 @@ Queries are a stated, small set; they are broadcast after a check of their numbe
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,10 +148,12 @@ def budget_by_group(rows: DataFrame, batch: str, group: str, order: str, text: s
 def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
     """A deterministic embedder that needs no model: signed word hashes, counted by place. A model's UDF takes its place."""
 
-    def embed(text: Column) -> Column:
-        h = F.transform(words(text), lambda w: F.xxhash64(w))
-        at = F.transform(h, lambda x: F.struct(F.pmod(x, F.lit(dim)).alias("i"), F.when(F.shiftright(x, 32) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(at, F.lit(0.0), lambda a, x: a + F.when(x["i"] == i, x["s"]).otherwise(0.0)))
-        return F.transform(raw, lambda x: x.cast("float"))
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            h = np.array([zlib.crc32(w.encode()) for w in (t or "").lower().split()], dtype=np.int64)
+            out.append(np.bincount(h % dim, weights=1.0 - 2.0 * (h >> 16 & 1), minlength=dim).astype(np.float32))
+        return pd.Series(out)
 
     return embed

@@ -121,7 +121,7 @@ def chunk_ids(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.chunk_id(F.concat(F.lit("upload:doc"), F.col("doc_id").cast("string")), F.lit(1), F.substring("text", 1, 100)).alias("id"))
 
 
-@query("WITH b AS (SELECT doc_id, (doc_id % 17)::DOUBLE AS x0, (doc_id % 17 + 10)::DOUBLE AS x1 FROM documents WHERE doc_id % 2 = 1), t AS (SELECT doc_id - 1 AS doc_id, (doc_id % 13)::DOUBLE AS x0, (doc_id % 13 + 9)::DOUBLE AS x1 FROM documents WHERE doc_id % 2 = 0) SELECT b.doc_id, coalesce(greatest(least(b.x1, t.x1) - greatest(b.x0, t.x0), 0) > 5, FALSE) AS in_table FROM b LEFT JOIN t USING (doc_id)")
+@query("WITH b AS (SELECT doc_id, (doc_id % 17)::DOUBLE AS x0, (doc_id % 17 + 10)::DOUBLE AS x1 FROM documents WHERE doc_id % 2 = 1), t AS (SELECT doc_id - 1 AS doc_id, (doc_id % 13)::DOUBLE AS x0, (doc_id % 13 + 9)::DOUBLE AS x1 FROM documents WHERE doc_id % 2 = 0) SELECT b.doc_id, CASE WHEN t.x0 IS NULL THEN FALSE ELSE greatest(least(b.x1, t.x1) - greatest(b.x0, t.x0), 0) > 5 END AS in_table FROM b LEFT JOIN t USING (doc_id)")
 def table_overlap(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id")
     box = lambda a, b: F.struct(a.cast("double").alias("x0"), F.lit(0.0).alias("y0"), b.cast("double").alias("x1"), F.lit(1.0).alias("y1"))

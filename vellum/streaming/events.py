@@ -71,10 +71,10 @@ def failure_message(error: Column) -> Column:
 
 
 def tumbling(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    w = stream.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    w = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(stream: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
-    w = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    w = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return w.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "n")
