@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import folds
 from ..operators.splitter import recursive_split
 from ..operators.structure import line_sections
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +54,7 @@ def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, {s_norm('text')} AS body, length({s_norm('text')})::BIGINT AS n FROM documents")
