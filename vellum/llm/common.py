@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from ..sources.tables import spread
+
 #: Text bytes that one step of a Python operator holds at once (a single longer text is one step).
 SLICE_BYTES = 8 << 20
 
@@ -69,4 +71,5 @@ def quoted(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A table, dealt out anew if its files give fewer splits than there are cores."""
+    return spread(tables.table(spark, sf_dir, name))
