@@ -209,11 +209,13 @@ def train(paragraphs: list[str], seed: int = 1) -> Model:
 
 
 def sampled_paragraphs(docs: DataFrame, text_col: str = "text", limit: int = SAMPLE) -> list[str]:
-    """One line of each of at most `limit` documents, those with the least text hashes."""
+    """One line of each of about `limit` documents at most, chosen by the text's hash; copies of a text count once."""
     text = F.col(quoted(text_col)).cast("string")
-    lines = F.split(text, "\n", -1)
+    known, n = docs.where(text.isNotNull()), docs.count()
     h = F.xxhash64(text)
-    rows = docs.where(text.isNotNull()).select(h.alias("h"), F.substring(F.element_at(lines, (F.pmod(h, F.size(lines)) + 1).cast("int")), 1, 2000).alias("line")).orderBy("h", "line").limit(limit)
+    chosen = known.select(h.alias("h"), text.alias("t")).where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, limit / max(n, 1))))
+    line = F.substring(F.element_at(F.split("t", "\n", -1), (F.pmod("h", F.size(F.split("t", "\n", -1))) + 1).cast("int")), 1, 2000)
+    rows = chosen.select("h", line.alias("line")).groupBy("h").agg(F.min("line").alias("line"))
     alike = {" ".join(_words(n.lower())) for ns in NOTICES.values() for n in ns}
     return sorted(r.line for r in rows.collect() if r.line and not any(a in " ".join(_words(r.line.lower())) for a in alike))
 
