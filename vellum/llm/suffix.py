@@ -269,6 +269,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     # Bucketed by the text's hash: later joins move what was found to the texts, never the texts.
     distinct.write.option("path", f"{scratch.base}/texts").option("compression", "zstd").bucketBy(n, "t1", "t2").saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: its files are of the shared folder, and `texts` is resolved
 
     runs = scratch.write(texts.where(F.octet_length("text") >= length).select("t1", "t2", "m", "text").mapInArrow(_find_runs(length, gram), RUN), "runs")
     keys = scratch.write(runs.groupBy("key").agg(F.sum("m").alias("n"), (F.min("ctx") != F.max("ctx")).alias("multi")).where("n > 1").select("key", "multi"), "keys")
