@@ -157,3 +157,34 @@ def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
         return pd.Series(out)
 
     return embed
+
+
+def first_of_each_page(hits: DataFrame, top: int) -> DataFrame:
+    """Three times as many hits as wanted, the first of each (document_key, page_number), cut at `top`."""
+    pool = hits.where(F.col("rank") <= top * 3)
+    once = Window.partitionBy("query_id", "document_key", "page_number").orderBy("rank")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    one = pool.withColumn("r", F.row_number().over(once)).where("r = 1").drop("r")
+    return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def per_group_topk(scored: DataFrame, group: str, id_col: str, each: int, top: int) -> DataFrame:
+    """The best `each` of every group, then the best `top` of those."""
+    own = Window.partitionBy("query_id", group).orderBy(F.desc("score"), id_col)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return scored.withColumn("r", F.row_number().over(own)).where(F.col("r") <= each).drop("r").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def prompt_text(items: DataFrame) -> DataFrame:
+    """Context items (query_id, item, page_number, text) as one text with page marks."""
+    part = F.concat(F.lit("--- PAGE "), F.col("page_number").cast("string"), F.lit(" ---\n"), "text")
+    return items.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("prompt"))
+
+
+def highlight_boxes(passages: Column) -> Column:
+    """All lines of the passages that have a box: line_number and bbox."""
+    return F.flatten(F.transform(passages, lambda p: F.filter(p["lines"], lambda x: x["bbox"].isNotNull())))
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count("*").alias("total"), F.count_if(F.col("chunk_type") == "parent").alias("parents"), F.count_if(F.col("chunk_type") == "child").alias("children"), F.countDistinct("document_key").alias("documents"))

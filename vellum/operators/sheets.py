@@ -200,3 +200,28 @@ def section_blocks(df: DataFrame, text: str) -> DataFrame:
     b = df.select(*keys, F.posexplode(F.split(text, "---SECTION---", -1)).alias("pos", "block")).where(F.col("block").rlike(SECTION_BLOCK))
     part = lambda k: F.regexp_extract("block", SECTION_BLOCK, k)
     return b.select(*keys, "pos", F.lower(part(1)).alias("section_type"), part(2).alias("title"), part(3).alias("content"))
+
+
+def legacy_cells(cells: DataFrame) -> DataFrame:
+    """Cleaning for flat sheets: columns that are over four fifths empty go, and, where three columns or more are left,
+    so do leading rows of at most one value. Row and column numbers close up."""
+    full = filled(cells)
+    rows = full.groupBy(*KEYS).agg(F.countDistinct("r").alias("n_rows"))
+    kept = full.groupBy(*KEYS, "c").agg(F.count("*").alias("n")).join(rows, KEYS).where(F.col("n") >= F.col("n_rows") * 0.2).select(*KEYS, "c")
+    wide = kept.groupBy(*KEYS).agg(F.count("*").alias("n_cols"))
+    body = full.join(kept, [*KEYS, "c"]).join(wide, KEYS)
+    many = body.groupBy(*KEYS, "r").agg(F.count("*").alias("n")).where("n > 1").groupBy(*KEYS).agg(F.min("r").alias("first"))
+    cut = body.join(many, KEYS, "left").where((F.col("n_cols") < 3) | F.col("first").isNull() | (F.col("r") >= F.col("first")))
+    place = lambda c: F.dense_rank().over(Window.partitionBy(*KEYS).orderBy(c)) - 1
+    return cut.select(*KEYS, place("r").alias("r"), place("c").alias("c"), "v", "v_type", "bold")
+
+
+def markdown_cells(df: DataFrame, text: str = "markdown") -> DataFrame:
+    """Rows of a markdown table (header and rule first): row_index, c, name, v; rows are padded or cut to the header's width."""
+    keys = [c for c in df.columns if c != text]
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1), lambda x: F.trim(x))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x).rlike(r"^\|.*\|$") & ~F.trim(x).rlike(r"^\|[-:| ]+\|$"))
+    t = df.select(*keys, lines.alias("l")).where(F.size("l") > 1).select(*keys, cells(F.col("l")[0]).alias("h"), F.posexplode(F.slice("l", F.lit(2), F.size("l") - 1)).alias("row_index", "line"))
+    base = lambda n, i: F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(n), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.concat(F.lit("col_"), i.cast("string")))
+    names = t.withColumn("b", F.transform("h", base)).withColumn("v", cells(F.col("line")))
+    return names.select(*keys, "row_index", F.posexplode("b").alias("c", "base"), "b", "v").select(*keys, "row_index", "c", F.when(F.size(F.filter(F.slice("b", F.lit(1), F.col("c")), lambda x: x == F.col("base"))) > 0, F.concat("base", F.lit("_"), F.size(F.filter(F.slice("b", F.lit(1), F.col("c")), lambda x: x == F.col("base"))).cast("string"))).otherwise(F.col("base")).alias("name"), F.coalesce(F.get("v", F.col("c")), F.lit("")).alias("v"))

@@ -1,8 +1,8 @@
 """Every registered query with its oracle."""
 
-from . import documents, events, retrieval, surface, text
+from . import documents, events, more, retrieval, surface, text
 
-MODULES = (text, documents, retrieval, surface, events)
+MODULES = (text, documents, retrieval, surface, events, more)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for module in MODULES:

@@ -46,7 +46,7 @@ def accepted_value(value: Column) -> Column:
 
 
 def accepted_tags(tags: Column, most: int = 5) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: t != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")), 1, most)
 
 
 def type_change(current: Column, detected: Column) -> Column:

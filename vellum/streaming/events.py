@@ -78,3 +78,13 @@ def tumbling(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour")
 def sessions(stream: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     w = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return w.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "n")
+
+
+def retry_decision(state: Column, has_arguments: Column, has_file: Column, attempts: Column) -> Column:
+    """HTTP-like answer to a request for another try: 409 while running, 404 without arguments or file, 429 after the last try, else 202."""
+    return F.when(state.isin("PENDING", "STARTED", "PROGRESS", "RETRY"), 409).when(~has_arguments | ~has_file, 404).when(attempts >= len(RETRY_WAITS), 429).otherwise(202)
+
+
+def retry_wait(attempt: Column) -> Column:
+    """Seconds before the next try; null after the last."""
+    return F.get(F.array(*[F.lit(x) for x in RETRY_WAITS]), attempt)
