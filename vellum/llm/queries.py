@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import bpe, decontaminate, html, langid, licences, linededup, pii, search, simhash, suffix
 from .common import small_batches, table
 
@@ -43,7 +44,7 @@ PII_KEY = "public test key"
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymise(tables.table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
