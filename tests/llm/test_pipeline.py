@@ -3,12 +3,24 @@ import hashlib
 import corpus_pipeline
 from pyspark.sql import Row
 
-from vellum.llm import langid, simhash
+from vellum.llm import langid, simhash, sketches
 from vellum.llm.queries import learned_from, tokenizer_path
 
 from .test_decontaminate import brute as similarity
 from .test_line_dedup import brute as without_lines
 from .test_simhash import brute_components
+from .test_sketches import far, sketch
+
+
+def groups(texts, ids):
+    """The least id of each text's component, linked by fingerprints or by wide fingerprints."""
+    root, wide = brute_components([simhash.fingerprint(t, 5) for t in texts], ids), [sketch(t)[0] for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and far(wide[i], wide[j]) <= sketches.FAR:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
 
 
 def test_run_against_brute_force(spark, data):
@@ -22,8 +34,7 @@ def test_run_against_brute_force(spark, data):
     rows = [r for r, x in zip(rows, lang) if x != "und"]
     kept = without_lines([((d, 0), (d, t)) for d, t in rows])
     rows = [(d, kept[d, 0]) for d, _ in rows]
-    comps = brute_components([simhash.fingerprint(t, 5) for _, t in rows], [d for d, _ in rows])
-    rows = [r for r, c in zip(rows, comps) if r[0] == c]
+    rows = [r for r, c in zip(rows, groups([t for _, t in rows], [d for d, _ in rows])) if r[0] == c]
     items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     rows = [(d, t) for d, t in rows if not any(similarity(t, i) >= 0.8 for i in items)]
     tok = Tokenizer.from_file(tokenizer_path())

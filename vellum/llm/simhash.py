@@ -6,6 +6,9 @@ each half, fetches the matches and checks the complete distance. Equal fingerpri
 A half that many fingerprints share goes another, equally exact way: its table and its probes are laid out in a
 grid of bounded blocks, and each block returns a spanning forest of its links instead of all pairs.
 
+Texts that are alike by 0.8 or more may lie further apart than such balls reach. Where `alike` is set, links by the wide
+fingerprints of sketches.py are added to those of the multi-index.
+
 Null text counts as empty; documents without words have fingerprint zero and are linked like any other. Repeated
 rows are linked to each other. A component's id is its least non-null document id (null if it has none).
 """
@@ -22,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketches
 from .common import Scratch, quoted, slices
 from .components import components
 
@@ -35,8 +39,8 @@ TABLE_BLOCK, PROBE_BLOCK = 2048, 8192
 STEP = 1 << 16
 
 
-def fingerprint(text: str, width: int) -> int:
-    """Words are runs of bytes that aren't ASCII white space, after lower-casing A-Z."""
+def fingerprint(text: str, width: int, minima: sketches.Minima | None = None) -> int:
+    """Words are runs of bytes that aren't ASCII white space, after lower-casing A-Z. The shingles are added to `minima`."""
     words = text.encode().lower().split()
     if not words:
         return 0
@@ -46,22 +50,30 @@ def fingerprint(text: str, width: int) -> int:
         part = words[k : min(k + STEP, n) + width - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+        if minima is not None:
+            minima.add(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", alike: bool = False) -> DataFrame:
+    """id, fp (the 64 bits as a signed long); with `alike` also wide and runs, the sketch."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                fps = [fingerprint(t or "", width) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+                minima = [sketches.Minima() if alike else None for _ in range(part.num_rows)]
+                fps = [fingerprint(t or "", width, m) for t, m in zip(part.column(1).to_pylist(), minima, strict=True)]
+                columns = {"id": part.column(0), "fp": pa.array(fps, pa.int64())}
+                if alike:
+                    wide, runs = zip(*(m.sketch() for m in minima), strict=True)
+                    columns |= {"wide": pa.array(wide, pa.list_(pa.int64())), "runs": pa.array(runs, pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    schema = f"id {kind}, fp bigint" + (", wide array<bigint>, runs binary" if alike else "")
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _forest(probes: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,24 +134,31 @@ def links(scratch: Scratch, distinct: DataFrame, radius: int = RADIUS) -> DataFr
     return cold.unionAll(hot)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", alike: bool = False) -> DataFrame:
     """id, fp, component: one row for each input row."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.write(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    rows = scratch.write(fingerprints(docs, width, id_col, text_col, alike), "fingerprints")
+    fps = rows.select("id", "fp")
     distinct = scratch.write(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    comps = components(scratch, links(scratch, distinct.select("fp"), radius))
+    found = links(scratch, distinct.select("fp"), radius)
+    if alike:
+        # A sketch is a node of its own, linked to each fingerprint that has it.
+        node = F.xxhash64("wide", "runs")
+        nodes = scratch.write(rows.groupBy(node.alias("node")).agg(F.first("wide").alias("wide"), F.first("runs").alias("runs")), "sketches")
+        found = found.unionAll(rows.select(F.col("fp").alias("a"), node.alias("b")).distinct()).unionAll(sketches.links(scratch, nodes))
+    comps = components(scratch, found)
     roots = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = scratch.write(roots.groupBy("root").agg(F.min("least").alias("component")), "least")
     classes = scratch.write(roots.join(least, "root").select("fp", "component"), "classes")
     return fps.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", alike: bool = True) -> DataFrame:
     """The input rows, all columns as they are, less those whose component has an earlier row.
 
     The earliest has the least id (null ids last); among rows that repeat an id, the least text hash; one of equal rows stays."""
     scratch = Scratch(docs.sparkSession, "keep")
-    found = near_duplicates(docs.select(F.struct(F.col(quoted(id_col)).isNull().alias("n"), F.col(quoted(id_col)).alias("i"), F.xxhash64(F.col(quoted(text_col))).alias("h")).alias("place"), F.col(quoted(text_col)).alias("text")), width, radius, "place", "text")
+    found = near_duplicates(docs.select(F.struct(F.col(quoted(id_col)).isNull().alias("n"), F.col(quoted(id_col)).alias("i"), F.xxhash64(F.col(quoted(text_col))).alias("h")).alias("place"), F.col(quoted(text_col)).alias("text")), width, radius, "place", "text", alike)
     places = scratch.write(found.select("place", "component"), "places")
     gone = scratch.write(places.where(F.col("place") != F.col("component")).select("place.*").distinct(), "gone")
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).alias("k"), F.xxhash64(F.col(quoted(text_col))).alias("th"))
