@@ -103,3 +103,41 @@ def test_the_operator_keeps_one_of_each_at_the_threshold(spark):
             assert 2 * g + 1 in kept, s
     assert kept >= {1000, 1002, 1004} and not kept & {1001, 1003, None}
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def near_pairs(seed, pairs):
+    """Pairs whose exact similarity lies from 0.77 to 0.85."""
+    rng, out = random.Random(seed), []
+    while len(out) < pairs:
+        base = [f"p{len(out)}w{rng.randrange(3000)}" for _ in range(400)]
+        two = " ".join(base), " ".join(edited(rng, base, rng.randint(6, 11)))
+        if 0.77 <= jaccard(*two) <= 0.85:
+            out.append(two)
+    return out
+
+
+def test_the_sets_decide_near_the_threshold(spark):
+    pairs = near_pairs(11, 150)
+    docs = spark.createDataFrame([(2 * g + k, t) for g, two in enumerate(pairs) for k, t in enumerate(two)], "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert [2 * g + 1 not in kept for g in range(len(pairs))] == [jaccard(*two) >= 0.8 for two in pairs]
+
+
+@pytest.mark.parametrize(("shared", "block"), [(24, 2048), (3, 8)])
+def test_components_are_those_of_the_exact_similarity(spark, monkeypatch, shared, block):
+    monkeypatch.setattr(sketches, "SHARED", shared)
+    monkeypatch.setattr(sketches, "BLOCK", block)
+    texts = corpus(5, 4, 30, 14)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    scratch = Scratch(spark, "test")
+    made = [Row(node=k, wide=w, runs=bytes(r)) for k, (w, r) in enumerate(map(sketch, texts))]
+    rows = scratch.write(spark.createDataFrame(made, "node bigint, wide array<bigint>, runs binary"), "rows")
+    sets = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"), 5)
+    found = sketches.links(scratch, rows, lambda asked: sets.join(asked, "node"))
+    got = {r.node: r.root for r in components(scratch, found).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == root

@@ -6,8 +6,8 @@ each half, fetches the matches and checks the complete distance. Equal fingerpri
 A half that many fingerprints share goes another, equally exact way: its table and its probes are laid out in a
 grid of bounded blocks, and each block returns a spanning forest of its links instead of all pairs.
 
-Texts that are alike by 0.8 or more may lie further apart than such balls reach. Where `alike` is set, links by the wide
-fingerprints of sketches.py are added to those of the multi-index.
+Texts that are alike by 0.8 or more may lie further apart than such balls reach. Where `alike` is set, links that the wide
+fingerprints of sketches.py find and the sets of shingles confirm are added to those of the multi-index.
 
 Null text counts as empty; documents without words have fingerprint zero and are linked like any other. Repeated
 rows are linked to each other. A component's id is its least non-null document id (null if it has none).
@@ -39,6 +39,15 @@ TABLE_BLOCK, PROBE_BLOCK = 2048, 8192
 STEP = 1 << 16
 
 
+def hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The hashes of the shingles, repeats included, a step at a time."""
+    n = max(1, len(words) - width + 1)
+    for k in range(0, n if words else 0, STEP):
+        part = words[k : min(k + STEP, n) + width - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+
+
 def fingerprint(text: str, width: int, minima: sketches.Minima | None = None) -> int:
     """Words are runs of bytes that aren't ASCII white space, after lower-casing A-Z. The shingles are added to `minima`."""
     words = text.encode().lower().split()
@@ -46,10 +55,7 @@ def fingerprint(text: str, width: int, minima: sketches.Minima | None = None) ->
         return 0
     n = max(1, len(words) - width + 1)
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, STEP):
-        part = words[k : min(k + STEP, n) + width - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+    for h in hashes(words, width):
         if minima is not None:
             minima.add(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -58,7 +64,7 @@ def fingerprint(text: str, width: int, minima: sketches.Minima | None = None) ->
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", alike: bool = False) -> DataFrame:
-    """id, fp (the 64 bits as a signed long); with `alike` also wide and runs, the sketch."""
+    """id, fp (the 64 bits as a signed long); with `alike` also wide and runs, the sketch, node, a name of the set of shingles, and hash, of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +75,24 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
                 columns = {"id": part.column(0), "fp": pa.array(fps, pa.int64())}
                 if alike:
                     wide, runs = zip(*(m.sketch() for m in minima), strict=True)
-                    columns |= {"wide": pa.array(wide, pa.list_(pa.int64())), "runs": pa.array(runs, pa.binary())}
+                    columns |= {"wide": pa.array(wide, pa.list_(pa.int64())), "runs": pa.array(runs, pa.binary()), "node": pa.array([m.digest() for m in minima], pa.int64()), "hash": part.column(2)}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"id {kind}, fp bigint" + (", wide array<bigint>, runs binary" if alike else "")
-    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = f"id {kind}, fp bigint" + (", wide array<bigint>, runs binary, node bigint, hash bigint" if alike else "")
+    text = F.col(quoted(text_col)).cast("string")
+    return docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"), *([F.xxhash64(text).alias("hash")] if alike else [])).mapInArrow(run, schema)
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """texts: (node, text) -> (node, set), the distinct hashes of the text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = [np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *hashes((t or "").encode().lower().split(), width)])).view("<i8") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"node": part.column(0), "set": pa.array(sets, pa.list_(pa.int64()))})
+
+    return texts.mapInArrow(run, "node bigint, set array<bigint>")
 
 
 def _forest(probes: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +161,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_co
     distinct = scratch.write(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     found = links(scratch, distinct.select("fp"), radius)
     if alike:
-        # A sketch is a node of its own, linked to each fingerprint that has it.
-        node = F.xxhash64("wide", "runs")
-        nodes = scratch.write(rows.groupBy(node.alias("node")).agg(F.first("wide").alias("wide"), F.first("runs").alias("runs")), "sketches")
-        found = found.unionAll(rows.select(F.col("fp").alias("a"), node.alias("b")).distinct()).unionAll(sketches.links(scratch, nodes))
+        # A set of shingles is a node of its own, linked to its fingerprint. Only sets that may have a partner are made again, from one text each.
+        nodes = scratch.write(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.first("runs").alias("runs"), F.min("hash").alias("hash")), "sketches")
+        text = F.col(quoted(text_col)).cast("string")
+        texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text")).groupBy("hash").agg(F.first("text").alias("text"))
+        sets = lambda asked: shingle_sets(texts.join(nodes.select("node", "hash").join(asked, "node"), "hash").select("node", "text"), width)
+        found = found.unionAll(rows.select(F.col("fp").alias("a"), F.col("node").alias("b")).distinct()).unionAll(sketches.links(scratch, nodes, sets))
     comps = components(scratch, found)
     roots = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = scratch.write(roots.groupBy("root").agg(F.min("least").alias("component")), "least")
