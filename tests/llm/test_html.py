@@ -36,6 +36,23 @@ def test_cases(source):
     assert html.to_text(source) == CASES[source]
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so x= 1 2 holds"),
+        ("<math><semantics><mi>y</mi><annotation>\\\\y</annotation></semantics></math>z", "yz"),
+        ("a<svg><defs><text>no</text></defs><metadata>no</metadata><title>no</title><rect/><text>North</text><text>South</text></svg>", "a\nNorth\nSouth"),
+        ("<svg><defs/><text>kept</text></svg>", "kept"),
+        ("<svg><text display='none'>no</text><style/><text>yes</text></svg>", "yes"),
+        ("<svg/>b<math/>c", "bc"),
+        ("<div style='backface-visibility:hidden'>seen</div>", "seen"),
+        ("<div style='color:red; VISIBILITY : hidden'>x</div>d", "d"),
+    ],
+)
+def test_formulas_labels_and_whole_property_names(source, want):
+    assert html.to_text(source) == want
+
+
 def test_deep_nesting_and_long_text():
     assert html.to_text("<div>" * 50_000 + "x") == "x"
     assert len(html.to_text("<p>" + "word " * 200_000)) == 999_999

@@ -4,6 +4,7 @@ A tokenizer feeds a tree builder that supplies implied end tags, ignores stray o
 elements. Rendering drops what isn't visible (scripts, styles, comments, templates, `hidden`, `display:none`,
 `visibility:hidden`), collapses white space except in <pre>, puts one line break around blocks and a blank line
 around paragraphs, headings, lists and tables, marks and indents list items, and aligns table cells in columns.
+Text inside <svg> and <math> is kept, less definitions, metadata and annotations; each label has a line of its own.
 All visible text is kept. The builder and the renderer use no recursion, so nesting may be of any depth.
 
 Null or empty pages give empty text. Repeated rows and null ids are rendered row by row. Only id and own columns come out.
@@ -24,7 +25,11 @@ from .common import quoted, slices
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link area param source track select".split()) - {"select"}
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link area param source track select".split()) - {"select"}
+#: Inside <svg> and <math>: what isn't drawn, what has a line of its own, and whose parts don't touch.
+UNDRAWN = frozenset("defs metadata desc symbol clippath mask marker pattern annotation annotation-xml".split())
+LABELS = frozenset("text foreignobject mtr mlabeledtr".split())
+PARTED = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr mlabeledtr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -48,15 +53,15 @@ FENCES = frozenset({"td", "th", "table", "caption"})
 
 _token = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _attr = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_hides = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_hides = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "foreign", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
 
 def _attrs(source: str) -> dict[str, str]:
@@ -125,9 +130,9 @@ def parse(source: str) -> Node:
             row = Node("tr", {})
             stack[-1].children.append(row)
             stack.append(row)
-        node = Node(tag, _attrs(m[2]))
+        node = Node(tag, _attrs(m[2]), tag in ("svg", "math") or stack[-1].foreign and stack[-1].tag != "foreignobject")
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or node.foreign and m[2].endswith("/"):
             continue
         if tag in RAW:
             if low is None:
@@ -140,7 +145,7 @@ def parse(source: str) -> Node:
             close = source.find(">", end)
             at = len(source) if close < 0 else close + 1
             continue
-        if not (m[2].endswith("/") and tag in ("svg", "math", "path")):
+        if not (m[2].endswith("/") and tag == "path"):
             stack.append(node)
     text(source[at:])
     return root
@@ -148,6 +153,8 @@ def parse(source: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
+    if node.foreign and (node.tag in UNDRAWN or a.get("display", "").strip() == "none" or a.get("visibility", "").strip() in ("hidden", "collapse")):
+        return True
     return bool(a) and ("hidden" in a or bool(_hides.search(a.get("style", ""))) or node.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
@@ -268,7 +275,7 @@ def render(root: Node) -> str:
                 lists, pre = [], 0
                 steps.append(("rows", node, steps[-1][3]))
                 continue
-            edge = 2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1 if tag in BLOCK else 0
+            edge = 2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1 if tag in BLOCK or node.foreign and tag in LABELS else 0
             if edge:
                 out.border(edge)
             old = out.indent
@@ -290,7 +297,9 @@ def render(root: Node) -> str:
                 out.indent = old + "  "
             pre += tag in ("pre", "xmp", "textarea", "plaintext")
             steps.append(("close", node, edge, old))
-            steps.extend(("open", c) for c in reversed(node.children))
+            parted = node.foreign and tag in PARTED
+            for c in reversed(node.children):
+                steps.extend([("open", c), ("open", " ")] if parted else [("open", c)])
         elif kind == "close":
             node, edge, old = rest
             out.indent = old
