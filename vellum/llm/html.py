@@ -1,19 +1,25 @@
 """Operator 10: layout-aware HTML to text.
 
 A tokenizer feeds a tree builder that supplies implied end tags, ignores stray ones and knows void and raw-text
-elements. Rendering drops what isn't visible (scripts, styles, comments, templates, `hidden`, `display:none`,
-`visibility:hidden`), collapses white space except in <pre>, puts one line break around blocks and a blank line
-around paragraphs, headings, lists and tables, marks and indents list items, and aligns table cells in columns.
-Text inside <svg> and <math> is kept, less definitions, metadata and annotations; each label has a line of its own.
-All visible text is kept. The builder and the renderer use no recursion, so nesting may be of any depth.
-
-Null or empty pages give empty text. Repeated rows and null ids are rendered row by row. Only id and own columns come out.
+elements. What isn't visible is taken out (scripts, styles, comments, templates, `hidden`, closed <details> and <dialog>,
+`display:none` and `visibility:hidden` in attributes or in the page's style sheets, as far as their selectors name single
+elements by tag, classes and id; what is made visible again inside stays). Rendering collapses white space except in
+<pre>, puts one line break around blocks and a blank line around paragraphs, headings, lists and tables, marks and
+indents list items, and aligns table cells in columns. Text inside <svg> and <math> is kept, less definitions, metadata
+and annotations; each label has a line of its own. All visible text is kept.
+
+Tokenizer, builder and renderer take time in proportion to the page, malformed or not, and use no recursion, so nesting may
+be of any depth; layout follows it to a limit only (LEVELS of indents, TABLES within tables, WIDEST cell), text beyond it stays.
+A `<` that begins no tag that ends is text. Null or empty pages give empty text, a very long page is one slice. Repeated rows
+and null ids are rendered row by row. An empty table gives no rows. Only id and `text` come out (an id column named
+`text` comes out as `page`).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -51,10 +57,20 @@ IN_HEAD = frozenset("base link meta script style title template noscript head".s
 #: An end tag for these is looked for only as far as the next enclosing cell or table.
 FENCES = frozenset({"td", "th", "table", "caption"})
 
-_token = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What follows "<": a comment, a declaration or instruction, or a tag's name.
+_opening = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_comment_end = re.compile(r"--!?>")
+_run = re.compile(r"[^=>]*(?:(>)|=\s*([\"'])?|\Z)")
 _attr = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_hides = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
+_block_comment = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_compound = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_marks = re.compile(r"[.#][\w-]+").findall
+_shown = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
+#: Lists and quotations within more levels than this aren't indented further, tables within more tables are plain rows.
+LEVELS, TABLES = 40, 12
+#: A longer cell doesn't widen its column.
+WIDEST = 120
 
 
 class Node:
@@ -70,92 +86,234 @@ def _attrs(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_attr.finditer(source)))}
 
 
-def parse(source: str) -> Node:
+class Source:
+    """A page's markup. Finding the ends of all tags takes time in proportion to its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.quotes = True
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag's `>` is, from `at`, a place behind its name; -1 if there is none. A `>` in a quoted value is no end."""
+        if at > self.last[">"]:
+            return -1
+        start = at
+        while self.quotes:
+            m = _run.match(self.page, at)
+            at = m.end()
+            if m[1]:
+                return at - 1
+            if m[2] and at <= self.last[m[2]]:
+                at = self.page.find(m[2], at) + 1
+            elif at == len(self.page):
+                self.quotes = False  # a value without an end runs to the page's end: once is enough
+        return self.page.find(">", start)
+
+
+class Stack:
+    """The open elements, and for each tag where it is open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Where the innermost of these is open; 0 if none is."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def close(self, tags: frozenset[str], stops: frozenset[str]) -> None:
+        """Ends these elements as far as the innermost stop; with a cell goes its row, if it is named too."""
+        while (place := self.last(tags)) > self.last(stops):
+            self.cut(place)
+
+
+#: What an end tag can't reach through: cells and tables; for parts of tables, tables only.
+_parts_of_tables = frozenset({"table", "tr", "tbody", "thead", "tfoot", "td", "th"})
+
+
+def parse(page: str) -> Node:
     root = Node("html", {})
-    stack = [root]
-    at, low = 0, None
+    stack, source = Stack(root), Source(page)
+    at, look, low, body = 0, 0, None, False
 
     def text(data: str) -> None:
         if data:
-            if stack[-1].tag == "head" and not data.isspace():
-                stack.pop()
-            stack[-1].children.append(unescape(data) if "&" in data else data)
-
-    def close_to(tags: frozenset[str], stops: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                # a cell inside a row: the row itself may have to end as well
-                for j in range(len(stack) - 1, 0, -1):
-                    if stack[j].tag in stops:
-                        return
-                    if stack[j].tag in tags:
-                        del stack[j:]
-                return
-            if stack[i].tag in stops:
-                return
-
-    while m := _token.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        tag = m[1]
-        if tag is None:
+            if stack.top.tag == "head" and not data.isspace():
+                stack.cut(len(stack.nodes) - 1)
+            stack.top.children.append(unescape(data) if "&" in data else data)
+
+    while m := _opening.search(page, look):
+        begin = m.start()
+        if m[1]:
+            end = _comment_end.search(page, m.end())
+            text(page[at:begin])
+            at = look = end.end() if end else len(page)
+            continue
+        if m[2]:
+            end = page.find(">", m.end())
+            text(page[at:begin])
+            at = look = end + 1 if end >= 0 else len(page)
             continue
-        tag = tag.lower()
-        if source[m.start() + 1] == "/":
+        end = source.tag_end(m.end())
+        if end < 0:  # no tag ends any more: what is left is text
+            break
+        text(page[at:begin])
+        at = look = end + 1
+        tag, own = m[4].lower(), page[m.end() : end]
+        if m[3]:
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+                stack.top.children.append(Node("br", {}))
+            elif tag == "p" and not stack.places["p"]:
+                stack.top.children.append(Node("p", {}))
             elif tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in FENCES and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") or stack[i].tag == "table":
-                        break
+                place = stack.last((tag,))
+                if place and place >= stack.last(("table",) if tag in _parts_of_tables else FENCES):
+                    stack.cut(place)
             continue
         if tag == "html":
-            root.attrs = _attrs(m[2]) | root.attrs
+            root.attrs = _attrs(own) | root.attrs
             continue
-        if tag == "body" and any(n.tag == "body" for n in stack):
+        if tag == "body" and body:
             continue
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+        body = body or tag == "body"
+        if stack.top.tag == "head" and tag not in IN_HEAD:
+            stack.cut(len(stack.nodes) - 1)
         if tag in IMPLIED:
-            close_to(*IMPLIED[tag])
+            stack.close(*IMPLIED[tag])
         if tag in ENDS_P:
-            close_to(frozenset({"p"}), FENCES | {"button"})
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            stack.close(_p, _p_stops)
+        if tag in ("td", "th") and stack.top.tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", {})
-            stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(tag, _attrs(m[2]), tag in ("svg", "math") or stack[-1].foreign and stack[-1].tag != "foreignobject")
-        stack[-1].children.append(node)
-        if tag in VOID or node.foreign and m[2].endswith("/"):
+            stack.top.children.append(row)
+            stack.push(row)
+        node = Node(tag, _attrs(own), tag in ("svg", "math") or stack.top.foreign and stack.top.tag != "foreignobject")
+        stack.top.children.append(node)
+        if tag in VOID or node.foreign and own.endswith("/"):
             continue
         if tag in RAW:
             if low is None:
-                low = source.lower() if len(source.lower()) == len(source) else source
+                low = page.lower()
+                low = low if len(low) == len(page) else page
             end = low.find(f"</{tag}", at) if tag != "plaintext" else -1
-            end = len(source) if end < 0 else end
-            data = source[at:end]
+            end = len(page) if end < 0 else end
+            data = page[at:end]
             if data:
                 node.children.append(unescape(data) if tag in ("textarea", "title") else data)
-            close = source.find(">", end)
-            at = len(source) if close < 0 else close + 1
+            close = page.find(">", end)
+            at = look = len(page) if close < 0 else close + 1
             continue
-        if not (m[2].endswith("/") and tag == "path"):
-            stack.append(node)
-    text(source[at:])
+        stack.push(node)
+    text(page[at:])
     return root
 
 
-def hidden(node: Node) -> bool:
-    a = node.attrs
-    if node.foreign and (node.tag in UNDRAWN or a.get("display", "").strip() == "none" or a.get("visibility", "").strip() in ("hidden", "collapse")):
-        return True
-    return bool(a) and ("hidden" in a or bool(_hides.search(a.get("style", ""))) or node.tag == "input" and a.get("type", "").lower() == "hidden")
+_p, _p_stops = frozenset({"p"}), FENCES | {"button"}
+
+
+class Sheet:
+    """Rules of a page's style sheets that show or hide: selectors are lists of single elements (tag, classes, id)."""
+
+    def __init__(self, sheets: list[str]):
+        rules: dict[tuple, dict[str, str]] = {}
+        for sheet in sheets:
+            depth = 0
+            for part in _block_comment.sub(" ", sheet).split("}"):
+                pieces = part.split("{")
+                depth += len(pieces) - 1
+                if depth == 1 and len(pieces) > 1 and (said := {k.lower(): v.lower() for k, v in _shown.findall(pieces[-1])}):
+                    for selector in pieces[-2].split(","):
+                        if selector.strip() and (c := _compound.fullmatch(selector.strip())):
+                            key = ((c[1] or "*").lower(), frozenset(_marks(c[2])))
+                            rules[key] = rules.pop(key, {}) | said  # at the end: the latest
+                depth = max(0, depth - 1)
+        self.by_key: dict[str, list[tuple]] = {}
+        self.known: dict[tuple, dict[str, str]] = {}
+        for number, ((tag, marks), said) in enumerate(rules.items()):
+            weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*", number)
+            self.by_key.setdefault(min(marks, default=tag), []).append((weight, tag, marks, said))
+
+    def ruled(self, tag: str, classes: str, name: str) -> dict[str, str]:
+        key = (tag, classes, name)
+        if key not in self.known:
+            marks = {f".{c}" for c in classes.split()} | ({f"#{name}"} if name else set())
+            found = [r for k in ("*", tag, *marks) for r in self.by_key.get(k, ()) if r[1] in ("*", tag) and r[2] <= marks]
+            out: dict[str, str] = {}
+            for _, _, _, said in sorted(found, key=lambda r: r[0]):
+                out |= said
+            self.known[key] = out
+        return self.known[key]
+
+    def said(self, node: Node) -> dict[str, str]:
+        """display and visibility of an element, as far as anything states them."""
+        out = self.ruled(node.tag, node.attrs.get("class", ""), node.attrs.get("id", "").strip()) if self.by_key else {}
+        if "style" in node.attrs:
+            out = out | {k.lower(): v.lower() for k, v in _shown.findall(node.attrs["style"])}
+        return out
+
+
+def _sheets(root: Node) -> list[str]:
+    todo, out = [root], []
+    while todo:
+        node = todo.pop()
+        if node.tag == "style":
+            out += [c for c in node.children if isinstance(c, str)]
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return out
+
+
+def prune(root: Node) -> None:
+    """Takes out of the tree what isn't visible: it isn't displayed, or it is hidden and nothing in it is made visible again."""
+    sheet = Sheet(_sheets(root))
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    while todo:
+        node, veiled, done = todo.pop()
+        if done:
+            node.children = [c for c in node.children if isinstance(c, str) or c.tag]
+            if veiled and not node.children and node.tag not in ("td", "th"):
+                node.tag = ""
+            continue
+        kept: list[Node | str] = []
+        inner: list[tuple[Node, bool, bool]] = []
+        closed = node.tag == "details" and "open" not in node.attrs
+        summary = False
+        for c in node.children:
+            if isinstance(c, str):
+                if not veiled and not closed:
+                    kept.append(c)
+                continue
+            a = c.attrs
+            if c.tag in UNSEEN or c.tag == "input" and a.get("type", "").lower() == "hidden" or c.tag == "dialog" and "open" not in a:
+                continue
+            if c.foreign and (c.tag in UNDRAWN or a.get("display", "").strip() == "none"):
+                continue
+            if closed and (c.tag != "summary" or summary):
+                continue
+            summary = summary or c.tag == "summary"
+            said = sheet.said(c) if a or sheet.by_key else {}
+            shown = said.get("display", "none" if "hidden" in a else "")
+            if shown == "none":
+                continue
+            seen = said.get("visibility") or (a.get("visibility", "").strip() if c.foreign else "")
+            hides = seen in ("hidden", "collapse") or veiled and seen != "visible"
+            if hides and c.tag in VOID:
+                continue
+            kept.append(c)
+            inner.append((c, hides, False))
+        node.children = kept
+        todo.append((node, veiled, True))
+        todo += inner
 
 
 class Out:
@@ -220,7 +378,7 @@ def _grid(rows: list[list[tuple[str, int]]]) -> str:
         col = 0
         for cell, span in row:
             if span == 1:
-                widths[col] = max(widths.get(col, 0), *(len(x) for x in cell.split("\n")))
+                widths[col] = max(widths.get(col, 0), *(min(len(x), WIDEST) for x in cell.split("\n")))
             col += span
     out = []
     for row in rows:
@@ -228,7 +386,8 @@ def _grid(rows: list[list[tuple[str, int]]]) -> str:
         for k in range(max(map(len, cells), default=0)):
             line, col = [], 0
             for lines, (_, span) in zip(cells, row, strict=True):
-                width = sum(widths.get(col + i, 0) for i in range(span)) + 3 * (span - 1)
+                held = [widths[col + i] for i in range(span) if col + i in widths]
+                width = sum(held) + 3 * (len(held) - 1)
                 line.append((lines[k] if k < len(lines) else "").ljust(width))
                 col += span
             out.append(" | ".join(line).rstrip())
@@ -240,7 +399,7 @@ def render(root: Node) -> str:
     out = Out()
     steps: list[tuple] = [("open", root)]
     lists: list[list] = []
-    pre = 0
+    pre = inside = 0
     while steps:
         kind, *rest = steps.pop()
         if kind == "open":
@@ -252,8 +411,6 @@ def render(root: Node) -> str:
                     out.words(node)
                 continue
             tag = node.tag
-            if tag in UNSEEN or hidden(node):
-                continue
             if tag == "br":
                 out.space = False
                 if out.parts and not out.breaks:
@@ -269,8 +426,9 @@ def render(root: Node) -> str:
                 if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and node.attrs.get("value"):
                     out.words(node.attrs["value"])
                 continue
-            if tag == "table":
+            if tag == "table" and inside < TABLES:
                 out.border(2)
+                inside += 1
                 steps.append(("table", node, out, [], lists, pre))
                 lists, pre = [], 0
                 steps.append(("rows", node, steps[-1][3]))
@@ -287,13 +445,15 @@ def render(root: Node) -> str:
                 if lists and lists[-1][0]:
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
-                if out.mark is not None:  # a list that opens an item: its marks share the line
-                    out.mark += mark
-                else:
+                deep = len(old) >= 2 * LEVELS
+                if out.mark is None:
                     out.mark = mark
                     out.breaks = max(out.breaks, 1)
-                out.indent = old + " " * len(mark)
-            elif tag in ("blockquote", "dd"):
+                elif not deep:  # a list that opens an item: its marks share the line
+                    out.mark += mark
+                if not deep:
+                    out.indent = old + " " * len(mark)
+            elif tag in ("blockquote", "dd") and len(old) < 2 * LEVELS:
                 out.indent = old + "  "
             pre += tag in ("pre", "xmp", "textarea", "plaintext")
             steps.append(("close", node, edge, old))
@@ -317,8 +477,6 @@ def render(root: Node) -> str:
                 if isinstance(c, str):
                     if c.strip():
                         todo.append(("cell", Node("td", {}), c, rows, True))
-                elif c.tag in UNSEEN or hidden(c):
-                    continue
                 elif c.tag in ("tbody", "thead", "tfoot", "colgroup"):
                     todo.append(("rows", c, rows))
                 elif c.tag == "tr":
@@ -329,7 +487,7 @@ def render(root: Node) -> str:
         elif kind == "row":
             node, rows = rest
             rows.append([])
-            steps.extend(("cell", c, None, rows, False) for c in reversed(node.children) if not (isinstance(c, str) and not c.strip()) and not (isinstance(c, Node) and (c.tag in UNSEEN or hidden(c))))
+            steps.extend(("cell", c, None, rows, False) for c in reversed(node.children) if not (isinstance(c, str) and not c.strip()))
         elif kind == "cell":
             node, data, rows, alone = rest
             if alone:
@@ -345,6 +503,7 @@ def render(root: Node) -> str:
         else:  # "table"
             _, outer, rows, lists, pre = rest
             out = outer
+            inside -= 1
             grid = _grid([[(cell, 2 if span == 10_000 else span) for cell, span in row] for row in rows if any(cell for cell, _ in row)])
             if grid:
                 out.lines(grid)
@@ -353,16 +512,21 @@ def render(root: Node) -> str:
 
 
 def to_text(source: str | None) -> str:
-    return render(parse(source)) if source else ""
+    if not source:
+        return ""
+    root = parse(source)
+    prune(root)
+    return render(root)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, text."""
     kind = pages.schema[id_col].dataType.simpleString()
+    out = "page" if id_col.lower() == "text" else id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_text(h) for h in part.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_text(h) for h in part.column(1).to_pylist()], pa.string())], names=[out, "text"])
 
-    return pages.select(F.col(quoted(id_col)), F.col(quoted(html_col)).cast("string").alias("html")).mapInArrow(run, f"{quoted(id_col)} {kind}, text string")
+    return pages.select(F.col(quoted(id_col)), F.col(quoted(html_col)).cast("string").alias("html")).mapInArrow(run, f"{quoted(out)} {kind}, text string")
