@@ -107,6 +107,40 @@ def test_catalog_and_gate(catalog, tmp_path):
             catalog.run(bad)
 
 
+def test_gate_keeps_to_scopes_and_functions(spark, catalog, tmp_path):
+    spark.createDataFrame([Row(hidden="secret")]).createOrReplaceTempView("secret")
+    refused = [
+        "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "WITH a AS (WITH secret AS (SELECT * FROM secret) SELECT * FROM secret) SELECT * FROM a",
+        "WITH b AS (SELECT * FROM c), c AS (SELECT 1 AS x) SELECT * FROM b",
+        "SELECT (WITH secret AS (SELECT 1 AS x) SELECT x FROM secret) AS y, s.hidden FROM secret s",
+        "SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret) t JOIN secret ON true",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM sales_2024",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM sales_2024",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM sales_2024",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT a FROM sales_2024 ORDER BY reflect('java.lang.System', 'exit', 1)",
+        "SELECT transform(array(1), x -> java_method('java.lang.System', 'exit', x))",
+        "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT input_file_name() FROM sales_2024", "SELECT raise_error('x')", "SELECT current_user()",
+        "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM sql_keywords()", f"SELECT * FROM csv.`{tmp_path}`", f"SELECT * FROM text.`{tmp_path}`", "SELECT * FROM default.secret", "TABLE secret",
+        "SELECT a FROM sales_2024 WHERE EXISTS (SELECT 1 FROM secret)", "SELECT a FROM sales_2024, LATERAL (SELECT * FROM secret)", "DESCRIBE sales_2024", "SHOW TABLES", "EXPLAIN SELECT 1",
+    ]
+    for bad in refused:
+        with pytest.raises(Refused):
+            catalog.run(bad)
+    good = {
+        "WITH sales_2024 AS (SELECT a + 1 AS a FROM sales_2024) SELECT max(a) AS x FROM sales_2024": 3,
+        "WITH a AS (SELECT 2 AS x), b AS (SELECT x * 2 AS x FROM a) SELECT x FROM b": 4,
+        "WITH RECURSIVE n AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM n WHERE x < 5) SELECT max(x) AS x FROM n": 5,
+        "SELECT sum(id) AS x FROM range(4)": 6,
+        "SELECT sum(y) AS x FROM sales_2024 LATERAL VIEW explode(array(a, a)) t AS y": 6,
+        "SELECT length(concat_ws('-', b, upper(b))) AS x FROM sales_2024 LIMIT 1": 3,
+    }
+    for sql, want in good.items():
+        assert catalog.run(sql).collect()[0].x == want, sql
+
+
 def test_ask_repairs(catalog):
     said = iter(["```sql\nSELECT nothing FROM sales_2024;\n```", "SELECT a FROM sales_2024 ORDER BY a"])
     errors = []

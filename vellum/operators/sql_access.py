@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,52 +28,71 @@ ALLOWED = frozenset(
 )
 
 
+#: Groups of built-in functions that queries may call: they compute from their arguments alone. Not among them is what
+#: calls Java, raises errors on purpose or tells about the session, the machine or its files.
+FUNCTION_GROUPS = frozenset("agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs url_funcs variant_funcs window_funcs".split())
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
+
+
 class Refused(ValueError):
     pass
 
 
-def _walk(plan, relations: set[str], bound: set[str]) -> None:
-    name = plan.getClass().getSimpleName()
-    if name not in ALLOWED:
-        raise Refused(f"not a query: {name}")
-    if name == "UnresolvedRelation":
-        relations.add(plan.multipartIdentifier().mkString("."))
-    if name == "UnresolvedWith":
-        ctes = plan.cteRelations()
-        for i in range(ctes.size()):
-            pair = ctes.apply(i)
-            bound.add(pair._1().lower())
-            _walk(pair._2(), relations, bound)
-    kids = plan.children()
-    for i in range(kids.size()):
-        _walk(kids.apply(i), relations, bound)
-    exprs = plan.expressions()
-    for i in range(exprs.size()):
-        _expressions(exprs.apply(i), relations, bound)
-
-
-def _expressions(e, relations: set[str], bound: set[str]) -> None:
-    if hasattr(e, "getClass") and e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery"):
-        if e.getClass().getSimpleName() == "InSubquery":
-            _walk(e.query().plan(), relations, bound)
-        else:
-            _walk(e.plan(), relations, bound)
-    kids = e.children()
-    for i in range(kids.size()):
-        _expressions(kids.apply(i), relations, bound)
+class _Gate:
+    """Walks a parsed plan. Names are resolved by scope: a WITH query's name holds for the queries behind it and for the main
+    query, within itself only if it is recursive."""
+
+    def __init__(self, spark: SparkSession, tables: set[str]):
+        self.gateway, self.tables = spark.sparkContext._gateway, {t.lower() for t in tables}
+        self.registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+        self.identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+
+    def plan(self, plan, bound: frozenset[str]) -> None:
+        name = plan.getClass().getSimpleName()
+        if name not in ALLOWED:
+            raise Refused(f"not a query: {name}")
+        if name == "UnresolvedRelation":
+            table = plan.multipartIdentifier().mkString(".").lower()
+            if table not in bound and table not in self.tables:
+                raise Refused(f"unknown table: {table}")
+        if name == "UnresolvedTableValuedFunction" and plan.name().mkString(".").lower() not in TABLE_FUNCTIONS:
+            raise Refused(f"table function: {plan.name().mkString('.')}")
+        if name == "UnresolvedWith":
+            ctes, recursive = plan.cteRelations(), plan.allowRecursion()
+            for i in range(ctes.size()):
+                cte = ctes.apply(i)
+                own = cte._1().lower()
+                self.plan(cte._2(), bound | {own} if recursive else bound)
+                bound = bound | {own}
+        for kids, visit in ((plan.children(), self.plan), (plan.expressions(), self.expression)):
+            for i in range(kids.size()):
+                visit(kids.apply(i), bound)
+
+    def expression(self, e, bound: frozenset[str]) -> None:
+        name = e.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in name or name in ("CallMethodViaReflection", "TryReflect"):
+            raise Refused(f"not allowed: {name}")
+        if name in ("UnresolvedFunction", "UnresolvedGenerator"):
+            self.function(e.nameParts().mkString(".") if name == "UnresolvedFunction" else e.name().unquotedString())
+        if is_instance_of(self.gateway, e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            self.plan(e.plan(), bound)
+        kids = e.children()
+        for i in range(kids.size()):
+            self.expression(kids.apply(i), bound)
+
+    def function(self, name: str) -> None:
+        found = None if "." in name else self.registry.lookupFunction(self.identifier(name.lower()))
+        if found is None or found.isEmpty() or found.get().getGroup() not in FUNCTION_GROUPS:
+            raise Refused(f"function: {name}")
 
 
 def check_plan(spark: SparkSession, sql: str, tables: set[str]) -> None:
     """Refuses what isn't a query over these tables alone, judged by the parsed plan."""
-    relations: set[str] = set()
-    bound: set[str] = set()
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except Exception as e:  # what doesn't parse is refused, whatever the parser throws
         raise Refused(f"not SQL: {str(e)[:200]}") from e
-    _walk(plan, relations, bound)
-    if strange := {r for r in relations if r.lower() not in bound and r.lower() not in {t.lower() for t in tables}}:
-        raise Refused(f"unknown tables: {', '.join(sorted(strange))}")
+    _Gate(spark, tables).plan(plan, frozenset())
 
 
 class Catalog:
