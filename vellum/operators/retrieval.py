@@ -1,24 +1,25 @@
 """Ranking: vectors, keywords, fusion, pages, related documents and context assembly.
 
-Queries are a stated, small set; they are broadcast after a check of their number, and documents are scanned once.
+Vector queries go to the rows in blocks of a bounded number, each a matrix; a task multiplies it with its rows and keeps
+the best of each query. Terms of queries are joined to the collection before its occurrences are counted or shuffled.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import words
 from .folds import budgeted, greedy_lines
 
-#: Queries of one call that may be broadcast; more go by a shuffled join.
-BROADCAST_QUERIES = 10_000
+#: Vector queries of one block, and terms of queries that may be broadcast; more terms go by a shuffled join.
+QUERY_BLOCK, BROADCAST_TERMS = 4096, 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,17 +36,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def few(queries: DataFrame) -> DataFrame:
-    """The queries, to be broadcast if there are few of them."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
-
-
-def vector_topk(rows: DataFrame, queries: DataFrame, id_col: str, k: int = 50, exclude: Column | None = None, digits: int = 6) -> DataFrame:
-    """rows (id, embedding), queries (query_id, q) -> query_id, id, score, rank. Ties go to the lesser id."""
-    pairs = rows.join(few(queries), F.lit(True) if exclude is None else ~exclude)
-    scored = pairs.select("query_id", id_col, F.round(cosine(F.col("embedding"), F.col("q")), digits).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, each of length one (or zero, if it has no length)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _floor(scores: np.ndarray, k: int, groups: np.ndarray, each: int | None) -> np.ndarray:
+    """Each query's k-th best score (-inf: fewer), of the best `each` of every group if that is set."""
+    if each is not None:
+        best = [np.sort(scores[:, groups == g], axis=1)[:, -each:] for g in np.unique(groups)]
+        scores = np.concatenate(best, axis=1)
+    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
+
+
+def vector_topk(rows: DataFrame, queries: DataFrame, id_col: str, k: int = 50, unlike: tuple[str, str] | None = None, digits: int = 6, group: str | None = None, each: int | None = None) -> DataFrame:
+    """rows (id, embedding), queries (query_id, q) -> query_id, id, score (cosine), rank. Ties go to the lesser id.
+
+    unlike: a column of the rows and one of the queries that must differ. group, each: at most `each` rows of every value of the
+    rows' column `group` are ranked, and the column comes out. Null embeddings are left out; vectors have one length."""
+    spark = rows.sparkSession
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), id_col: rows.schema[id_col].dataType.simpleString()} | ({group: rows.schema[group].dataType.simpleString()} if group else {})
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", score double"
+    own = [id_col, "embedding", *dict.fromkeys(c for c in ((unlike or [None])[0], group) if c and c != id_col)]
+    asked = queries.where("q IS NOT NULL").select("query_id", "q", *([F.col(unlike[1]).alias("unlike")] if unlike else []))
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for block in range(parts):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == block).toArrow()
+        if not len(held):
+            continue
+        sent = spark.sparkContext.broadcast((held["query_id"].combine_chunks(), _matrix(held["q"]), np.array(held["unlike"].to_pylist(), dtype=object) if unlike else None))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, matrix, others = sent.value
+            least, kept = np.full(len(ids), -np.inf), []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                scores = np.round(matrix @ _matrix(batch.column("embedding")).T, digits)
+                if unlike:
+                    scores[others[:, None] == np.array(batch.column(unlike[0]).to_pylist(), dtype=object)[None, :]] = -np.inf
+                groups = np.unique(np.array([str(x) for x in batch.column(group).to_pylist()]), return_inverse=True)[1] if group else np.zeros(0)
+                least = np.maximum(least, _floor(scores, k, groups, each))
+                q, d = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                at = pa.array(d)
+                kept.append((q, {c: batch.column(c).take(at) for c in kinds if c != "query_id"}, scores[q, d]))
+            for q, columns, s in kept:
+                at = np.nonzero(s >= least[q])[0]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[at])), *(c.take(pa.array(at)) for c in columns.values()), pa.array(s[at])], names=[*kinds, "score"])
+
+        part = rows.where("embedding IS NOT NULL").select(*own).mapInArrow(run, schema)
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    best = [F.desc("score"), F.col(id_col)]
+    if each is not None:
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id", group).orderBy(*best))).where(F.col("r") <= each).drop("r")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
 
 
 def mean_vectors(rows: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
@@ -54,32 +104,58 @@ def mean_vectors(rows: DataFrame, key: str, vec: str = "embedding") -> DataFrame
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"), F.max("n").alias("n"))
 
 
-def terms(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """id, term, tf, dl: the inverted table of a collection."""
-    w = rows.select(id_col, words(text).alias("w")).select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return w.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+def asked_only(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows whose term some query asks for. The asked terms are broadcast if they are few, which is counted first."""
+    asked = queries.select("term").distinct()
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return rows.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+
+
+def terms(rows: DataFrame, id_col: str, words: Column, queries: DataFrame) -> DataFrame:
+    """id, dl, term, tf, places (from 1) of the terms that queries ask for: words go no further than the join if none does."""
+    w = rows.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("dl"), F.posexplode("w").alias("p", "term"))
+    return asked_only(w, queries).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("places"))
+
+
+def cover_density(places: Column, need: Column) -> Column:
+    """Cover density rank at weight 0.1. A cover is a shortest extent that holds all `need` terms; it adds 0.1 / (1 + words in it
+    that aren't the terms), so a single term adds 0.1 for each occurrence. places: array of struct(p, t), t the terms' numbers from 0."""
+    ordered = F.array_sort(places)
+    start = F.struct(F.array_repeat(F.lit(0), need.cast("int")).alias("last"), F.lit(0).alias("begin"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"))
+
+    def step(s: Column, x: Column) -> Column:
+        i = s["i"] + 1
+        last = F.transform(s["last"], lambda v, t: F.when(t == x["t"], i).otherwise(v))  # each term's latest occurrence
+        begin = F.array_min(last)
+        noise = x["p"] - F.element_at(ordered, F.greatest(begin, F.lit(1)))["p"] - (i - begin)
+        new = begin > s["begin"]
+        return F.struct(last.alias("last"), F.greatest(begin, s["begin"]).alias("begin"), (s["sum"] + F.when(new, F.lit(0.1) / (noise + 1)).otherwise(0.0)).alias("sum"), i.alias("i"))
+
+    return F.aggregate(ordered, start, step, lambda s: s["sum"])
 
 
 def keyword_topk(index: DataFrame, queries: DataFrame, id_col: str, k: int = 50) -> DataFrame:
-    """Rows that hold every term of a query, ranked by 0.1 for each occurrence. queries: query_id, term (distinct)."""
+    """Rows that hold every term of a query, ranked by cover density. index: as `terms` gives it; queries: query_id, term (distinct)."""
     need = Window.partitionBy("query_id")
-    q = queries.withColumn("need", F.count("*").over(need))
-    hits = index.join(few(q), "term").groupBy("query_id", "need", id_col).agg(F.count("*").alias("got"), F.sum("tf").alias("tf"))
-    scored = hits.where("got = need").select("query_id", id_col, F.round(F.col("tf") * 0.1, 6).alias("score"))
+    q = queries.select("query_id", "term", F.count("*").over(need).alias("need"), (F.row_number().over(need.orderBy("term")) - 1).alias("t"))
+    hits = index.join(q, "term").groupBy("query_id", "need", id_col).agg(F.count("*").alias("got"), F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("p"), F.col("t").alias("t"))))).alias("occurrences"))
+    scored = hits.where("got = need").select("query_id", id_col, F.round(cover_density(F.col("occurrences"), F.col("need")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_topk(index: DataFrame, sizes: DataFrame, queries: DataFrame, id_col: str, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi BM25. A negative idf becomes a quarter of the mean idf. sizes: a row (dl) for each document."""
-    total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = idf.agg((F.avg("raw") * 0.25).alias("floor"))
-    weights = idf.crossJoin(F.broadcast(floor)).select("term", "mean", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    wanted = queries.join(weights, "term")
+def bm25_topk(rows: DataFrame, queries: DataFrame, id_col: str, words: Column, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Okapi BM25. A negative idf becomes a quarter of the mean idf of all terms. queries: query_id, term (distinct)."""
+    w = rows.select(id_col, words.alias("w"))
+    total = w.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    df = w.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # The mean is over few rows: terms with one frequency have one idf.
+    floor = df.groupBy("df").count().crossJoin(F.broadcast(total)).agg((F.sum(raw * F.col("count")) / F.sum("count") * 0.25).alias("floor"))
+    weights = asked_only(df, queries).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(floor)).select("term", "mean", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
+    posted = asked_only(w.select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term")), queries).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scored = index.join(few(wanted), "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scored = posted.join(queries.join(weights, "term"), "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -168,13 +244,6 @@ def first_of_each_page(hits: DataFrame, top: int) -> DataFrame:
     return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
-def per_group_topk(scored: DataFrame, group: str, id_col: str, each: int, top: int) -> DataFrame:
-    """The best `each` of every group, then the best `top` of those."""
-    own = Window.partitionBy("query_id", group).orderBy(F.desc("score"), id_col)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("r", F.row_number().over(own)).where(F.col("r") <= each).drop("r").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-
 def prompt_text(items: DataFrame) -> DataFrame:
     """Context items (query_id, item, page_number, text) as one text with page marks."""
     part = F.concat(F.lit("--- PAGE "), F.col("page_number").cast("string"), F.lit(" ---\n"), "text")

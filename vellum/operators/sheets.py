@@ -164,16 +164,19 @@ def semantic_rows(df: DataFrame, sheet: str, order: str) -> DataFrame:
 
 
 def profile(df: DataFrame, samples: int = 5) -> DataFrame:
-    """A row for each column: place, name, dtype, non_null, total, distinct, first-seen samples by least row hash order, min and max.
+    """A row for each column: place, name, dtype, non_null, total, distinct, samples, min and max. Samples are the least values by
+    string order, as a distributed table has no first-seen order.
 
-    One scan: the columns are stacked, values counted once each, then summed up."""
+    One scan: the columns are stacked, values counted once each, then summed up; each task keeps a column's few least values only."""
     kinds = dict(df.dtypes)
     numeric = {c for c, t in kinds.items() if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal")}
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.lit(kinds[c]).alias("dtype"), F.col(c).cast("string").alias("v"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("x")) for i, c in enumerate(df.columns)])).alias("s")).select("s.*")
     values = stacked.groupBy("place", "name", "dtype", "v").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    few = F.slice(F.array_sort(F.collect_set(F.when(F.col("r") <= samples, F.col("v")))), 1, samples)
-    ranked = values.withColumn("r", F.when(F.col("v").isNotNull(), F.row_number().over(Window.partitionBy("place").orderBy(F.col("v").asc_nulls_last()))))
-    return ranked.groupBy("place", "name", "dtype").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.sum("n").alias("total"), F.count("v").alias("distinct"), few.alias("samples"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+    some = F.col("v").isNotNull()
+    counts = values.groupBy("place", "name", "dtype").agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("non_null"), F.sum("n").alias("total"), F.count("v").alias("distinct"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+    least = values.where(some).withColumn("r", F.row_number().over(Window.partitionBy("place").orderBy("v"))).where(F.col("r") <= samples)
+    shown = least.groupBy("place").agg(F.array_sort(F.collect_list("v")).alias("samples"))
+    return counts.join(shown, "place", "left").select("place", "name", "dtype", "non_null", "total", "distinct", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "least", "most")
 
 
 def schema_text(profiled: DataFrame, table: str) -> DataFrame:

@@ -60,7 +60,7 @@ def legacy_page_chunks(spark, sf_dir):
     return chunking.page_chunks(pages)
 
 
-_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents"
+_LINES = "SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents"
 
 
 @query(f"SELECT doc_id, n::INT AS line_number, line FROM ({_LINES}) WHERE {s_strip('line')} <> ''")
@@ -88,14 +88,14 @@ _LETTERS = "length(regexp_replace(t, '[^A-Za-z]', '', 'g'))"
 
 
 @query(
-    f"""WITH e AS (SELECT doc_id, n, CASE n % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'ListItem' ELSE 'NarrativeText' END AS cat, {s_strip("CASE doc_id % 4 WHEN 0 THEN n || '. ' || substr(line, 1, 30) WHEN 1 THEN n || '.2 ' || substr(line, 1, 30) WHEN 2 THEN 'Introduction' ELSE line END")} AS t FROM ({_LINES}))
+    f"""WITH e AS (SELECT doc_id, n, CASE n % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'ListItem' ELSE 'NarrativeText' END AS cat, {s_strip("CASE doc_id % 4 WHEN 0 THEN n || '. ' || source WHEN 1 THEN n || '.2 ' || source WHEN 2 THEN 'Introduction' ELSE line END")} AS t FROM ({_LINES}))
     SELECT doc_id, n::INT AS n, CASE WHEN cat = 'ListItem' THEN CASE WHEN {_NUM} AND length(t) <= 50 AND {_LETTERS} >= 3 AND len(regexp_split_to_array(t, '\\s+')) <= 8 THEN {_RANK} ELSE 3 END
       WHEN cat <> 'Title' OR length(t) <= 3 OR length(t) > 80 OR regexp_matches(t, '^https?://|^[{{<\\[]|@[\\w.-]+\\.\\w{{2,}}|^[\\d\\s.,]+$|^\\d+[A-Z]') OR {_LETTERS} < 3 THEN 3 WHEN {_NUM} THEN {_RANK} WHEN lower(t) = 'introduction' THEN 1 ELSE 3 END AS level FROM e"""
 )
 def element_levels(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).withColumn("n", F.col("p") + 1)
+    d = docs(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).withColumn("n", F.col("p") + 1)
     n, i = F.col("n").cast("string"), F.col("doc_id") % 4
-    said = F.when(i == 0, F.concat(n, F.lit(". "), F.substring("line", 1, 30))).when(i == 1, F.concat(n, F.lit(".2 "), F.substring("line", 1, 30))).when(i == 2, "Introduction").otherwise(F.col("line"))
+    said = F.when(i == 0, F.concat(n, F.lit(". "), "source")).when(i == 1, F.concat(n, F.lit(".2 "), "source")).when(i == 2, "Introduction").otherwise(F.col("line"))
     cat = F.when(F.col("n") % 3 == 0, "Title").when(F.col("n") % 3 == 1, "ListItem").otherwise("NarrativeText")
     return d.select("doc_id", "n", T.element_level(cat, said).alias("level"))
 
@@ -105,9 +105,9 @@ def preview_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", structure.preview(F.split("text", "\n", -1)).alias("preview"))
 
 
-@query("SELECT doc_id, k::BIGINT AS k, len(w[k*448+1:k*448+512])::BIGINT AS n, w[k*448+1] AS first FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 1024 THEN [0] ELSE range(0, ceil(greatest(len(w) - 64, 1) / 448.0)::BIGINT) END) AS k FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) WHERE len(w) > 1024")
+@query("SELECT doc_id, k::BIGINT AS k, CASE WHEN len(w) <= 1024 THEN len(w) ELSE len(w[k*448+1:k*448+512]) END::BIGINT AS n, w[k*448+1] AS first FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 1024 THEN [0] ELSE range(0, ceil(greatest(len(w) - 64, 1) / 448.0)::BIGINT) END) AS k FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def token_windows(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.split("text", " ", -1).alias("w")).where(F.size("w") > 1024)
+    d = docs(spark, sf_dir).select("doc_id", F.split("text", " ", -1).alias("w"))
     return d.select("doc_id", F.posexplode(chunking.token_windows(F.col("w"))).alias("k", "win")).select("doc_id", F.col("k").cast("long").alias("k"), F.size("win").cast("long").alias("n"), F.col("win")[0].alias("first"))
 
 
@@ -116,9 +116,9 @@ def highlight(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.highlighted(F.col("text"), "is the and there").alias("marked"))
 
 
-@query("SELECT doc_id, sha256('upload:doc' || doc_id || chr(1) || '1' || chr(1) || substr(text, 1, 100)) AS id FROM documents")
+@query("SELECT doc_id, sha256('upload:doc' || doc_id || chr(1) || '1' || chr(1) || text) AS id FROM documents")
 def chunk_ids(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.chunk_id(F.concat(F.lit("upload:doc"), F.col("doc_id").cast("string")), F.lit(1), F.substring("text", 1, 100)).alias("id"))
+    return docs(spark, sf_dir).select("doc_id", T.chunk_id(F.concat(F.lit("upload:doc"), F.col("doc_id").cast("string")), F.lit(1), F.col("text")).alias("id"))
 
 
 @query("WITH b AS (SELECT doc_id, (doc_id % 17)::DOUBLE AS x0, (doc_id % 17 + 10)::DOUBLE AS x1 FROM documents WHERE doc_id % 2 = 1), t AS (SELECT doc_id - 1 AS doc_id, (doc_id % 13)::DOUBLE AS x0, (doc_id % 13 + 9)::DOUBLE AS x1 FROM documents WHERE doc_id % 2 = 0) SELECT b.doc_id, CASE WHEN t.x0 IS NULL THEN FALSE ELSE greatest(least(b.x1, t.x1) - greatest(b.x0, t.x0), 0) > 5 END AS in_table FROM b LEFT JOIN t USING (doc_id)")

@@ -36,14 +36,12 @@ def page_dedupe(spark, sf_dir):
 
 @query(f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_COS} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, label, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 2) WHERE rank <= 6")
 def per_document_topk(spark, sf_dir):
-    pairs = vectors(spark, sf_dir).join(R.few(asked_vectors(spark, sf_dir)))
-    scored = pairs.select("query_id", "vec_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return R.per_group_topk(scored, "label", "vec_id", 2, 6)
+    return R.vector_topk(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), "vec_id", 6, group="label", each=2).select("query_id", "vec_id", "label", "score", "rank")
 
 
-@query("SELECT doc_id // 10 AS query_id, string_agg('--- PAGE ' || doc_id % 10 || ' ---' || chr(10) || substr(text, 1, 50), chr(10)||chr(10) ORDER BY doc_id) AS prompt FROM documents GROUP BY doc_id // 10")
+@query("SELECT doc_id // 10 AS query_id, string_agg('--- PAGE ' || doc_id % 10 || ' ---' || chr(10) || text, chr(10)||chr(10) ORDER BY doc_id) AS prompt FROM documents GROUP BY doc_id // 10")
 def prompt_text(spark, sf_dir):
-    items = docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("item"), (F.col("doc_id") % 10).alias("page_number"), F.substring("text", 1, 50).alias("text"))
+    items = docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("item"), (F.col("doc_id") % 10).alias("page_number"), "text")
     return R.prompt_text(items)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.stemming import stem_words
 from ..operators import retrieval as R
 from ..sources.tables import table
 from .text import S_CHUNKS, chunk_rows, docs, s_norm, s_strip
@@ -45,7 +46,7 @@ def vector_topk(spark, sf_dir):
 
 @query(_TOP.format(f"SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.label <> q.label", 5))
 def cross_doc_chunks(spark, sf_dir):
-    return R.vector_topk(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), "vec_id", 5, exclude=F.col("label") == F.col("q_label")).select("query_id", "vec_id", "score", "rank")
+    return R.vector_topk(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), "vec_id", 5, unlike=("label", "q_label")).select("query_id", "vec_id", "score", "rank")
 
 
 _MEAN = "SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label"
@@ -60,7 +61,7 @@ def doc_mean_vector(spark, sf_dir):
 def _similar(spark, sf_dir, least: float = -2.0) -> DataFrame:
     m = R.mean_vectors(vectors(spark, sf_dir), "label").select("label", "embedding")
     q = m.select(F.col("label").alias("query_id"), F.col("embedding").alias("q"))
-    return R.vector_topk(m, q, "label", 5, exclude=F.col("label") == F.col("query_id")).where(F.col("score") >= least)
+    return R.vector_topk(m, q, "label", 5, unlike=("label", "query_id")).where(F.col("score") >= least)
 
 
 _SIMILAR = f"WITH m AS ({_MEAN}) SELECT * FROM (SELECT query_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label)::INT AS rank FROM (SELECT q.label AS query_id, v.label, {_COS} AS score FROM m v, m q WHERE v.label <> q.label)) WHERE rank <= 5"
@@ -71,19 +72,24 @@ def similar_docs(spark, sf_dir):
     return _similar(spark, sf_dir).select("query_id", "label", "score", "rank")
 
 
+#: Related documents are at least so similar.
+RELATED = 0.3
+
+
 @query(
     f"""WITH m AS ({_MEAN}), s AS ({_SIMILAR}), c AS (SELECT * FROM (SELECT q.label AS query_id, v.label, v.vec_id, {_COS} AS near, row_number() OVER (PARTITION BY q.label ORDER BY {_COS} DESC, v.vec_id) AS r FROM embeddings v, m q WHERE v.label <> q.label) WHERE r <= 5),
     n AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY r) AS k FROM c)
-    SELECT s.query_id, s.label, s.score, n.vec_id, n.near FROM s LEFT JOIN n ON n.query_id = s.query_id AND n.label = s.label AND n.k <= 3 WHERE s.score >= -0.3"""
+    SELECT s.query_id, s.label, round_even(s.score, 3) AS score, n.vec_id, round_even(n.near, 3) AS near, substr(d.text, 1, 200) AS preview FROM s LEFT JOIN n ON n.query_id = s.query_id AND n.label = s.label AND n.k <= 3 LEFT JOIN documents d ON d.doc_id = n.vec_id WHERE s.score >= {RELATED}"""
 )
 def nudge(spark, sf_dir):
-    """Related documents with those of the five best passages of all documents that are theirs, three at most."""
+    """Related documents with those of the five best passages of all documents that are theirs, three at most, and a preview of them."""
     m = R.mean_vectors(vectors(spark, sf_dir), "label").select(F.col("label").alias("query_id"), F.col("embedding").alias("q"))
-    hits = R.vector_topk(vectors(spark, sf_dir), m, "vec_id", 5, exclude=F.col("label") == F.col("query_id"))
-    labelled = hits.join(vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    hits = R.vector_topk(vectors(spark, sf_dir), m, "vec_id", 5, unlike=("label", "query_id"))
+    previews = docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 200).alias("preview"))
+    labelled = hits.join(vectors(spark, sf_dir).select("vec_id", "label"), "vec_id").join(previews, "vec_id", "left")
     order = Window.partitionBy("query_id", "label").orderBy("rank")
-    n = labelled.withColumn("k", F.row_number().over(order)).where("k <= 3").select("query_id", "label", "vec_id", F.col("score").alias("near"))
-    return _similar(spark, sf_dir, -0.3).join(n, ["query_id", "label"], "left").select("query_id", "label", "score", "vec_id", "near")
+    n = labelled.withColumn("k", F.row_number().over(order)).where("k <= 3").select("query_id", "label", "vec_id", F.bround("score", 3).alias("near"), "preview")
+    return _similar(spark, sf_dir, RELATED).withColumn("score", F.bround("score", 3)).join(n, ["query_id", "label"], "left").select("query_id", "label", "score", "vec_id", "near", "preview")
 
 
 _WORDS = f"list_filter(string_split({s_strip("regexp_replace(lower({0}), '\\s+', ' ', 'g')")}, ' '), lambda w: w <> '')"
@@ -93,23 +99,28 @@ def s_words(x: str) -> str:
     return _WORDS.replace("{0}", x)
 
 
-_INDEX = f"SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM (SELECT doc_id, {s_words('text')} AS w FROM documents)) GROUP BY ALL"
-_ASKED = f"SELECT DISTINCT item_id AS query_id, unnest(list_slice({s_words('text')}, 1, 2)) AS term FROM benchmark"
-_KEYWORD = f"""SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT q.query_id, i.doc_id, round(sum(tf) * 0.1, 6) AS score
-    FROM ({_INDEX}) i JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS need FROM ({_ASKED})) q USING (term) GROUP BY q.query_id, q.need, i.doc_id HAVING count(*) = q.need)) WHERE rank <= 50"""
-
+_PLACES = f"SELECT doc_id, len(w) AS dl, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, {s_words('text')} AS w FROM documents)"
+_INDEX = f"SELECT doc_id, dl, term, count(*) AS tf FROM ({_PLACES}) GROUP BY ALL"
+_ASKED = f"SELECT DISTINCT item_id AS query_id, unnest({s_words('text')}) AS term FROM benchmark"
+#: All covers by their definition: for each occurrence, the least of the terms' latest places; the first end of each such start.
+_KEYWORD = f"""SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
+    WITH q AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS need FROM ({_ASKED})), o AS (SELECT q.query_id, q.need, i.doc_id, i.term, i.p FROM ({_PLACES}) i JOIN q USING (term)),
+    h AS (SELECT query_id, doc_id FROM o GROUP BY query_id, doc_id, need HAVING count(DISTINCT term) = need), k AS (SELECT o.* FROM o SEMI JOIN h USING (query_id, doc_id)),
+    l AS (SELECT x.query_id, x.doc_id, x.need, x.p, y.term, max(y.p) AS latest FROM k x JOIN k y ON x.query_id = y.query_id AND x.doc_id = y.doc_id AND y.p <= x.p GROUP BY ALL),
+    c AS (SELECT query_id, doc_id, b, min(p) AS e FROM (SELECT query_id, doc_id, p, min(latest) AS b FROM l GROUP BY query_id, doc_id, need, p HAVING count(*) = need) GROUP BY ALL),
+    n AS (SELECT c.query_id, c.doc_id, c.b, c.e, count(*) AS held FROM c JOIN k ON k.query_id = c.query_id AND k.doc_id = c.doc_id AND k.p BETWEEN c.b AND c.e GROUP BY ALL)
+    SELECT query_id, doc_id, round(sum(0.1::DOUBLE / (1 + (e - b) - (held - 1))), 6) AS score FROM n GROUP BY ALL)) WHERE rank <= 50"""
 
-def _index(spark, sf_dir) -> DataFrame:
-    return R.terms(docs(spark, sf_dir), "doc_id", F.col("text"))
 
-
-def _asked(spark, sf_dir, n: int) -> DataFrame:
+def _asked(spark, sf_dir) -> DataFrame:
+    """All words of all benchmark items."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(T.words(F.col("text")), 1, n)).alias("term")).distinct()
+    return b.select(F.col("item_id").alias("query_id"), F.explode(T.words(F.col("text"))).alias("term")).distinct()
 
 
 def _keyword(spark, sf_dir) -> DataFrame:
-    return R.keyword_topk(_index(spark, sf_dir), _asked(spark, sf_dir, 2), "doc_id", 50)
+    asked = _asked(spark, sf_dir)
+    return R.keyword_topk(R.terms(docs(spark, sf_dir), "doc_id", T.words(F.col("text")), asked), asked, "doc_id", 50)
 
 
 @query(_KEYWORD)
@@ -117,23 +128,32 @@ def keyword_search(spark, sf_dir):
     return _keyword(spark, sf_dir).select("query_id", "doc_id", "score", "rank")
 
 
+@query()
+def keyword_search_english(spark, sf_dir):
+    """As the store's full text search: stop words drop out, the rest is stemmed, on both sides; places count all words."""
+    lexemes = lambda df: df.withColumn("w", stem_words(T.words(F.col("text"))))
+    asked = lexemes(table(spark, sf_dir, "benchmark")).select(F.col("item_id").alias("query_id"), F.explode("w").alias("term")).where("term <> ''").distinct()
+    return R.keyword_topk(R.terms(lexemes(docs(spark, sf_dir)), "doc_id", F.col("w"), asked), asked, "doc_id", 50).select("query_id", "doc_id", "score", "rank")
+
+
 @query(
-    f"""WITH i AS ({_INDEX}), q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({s_words('text')}, 1, 8)) AS term FROM benchmark), t AS (SELECT count(*) AS n, avg(len({s_words('text')})) AS mean FROM documents),
+    f"""WITH i AS ({_INDEX}), q AS ({_ASKED}), t AS (SELECT count(*) AS n, avg(len({s_words('text')})) AS mean FROM documents),
     f AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw, mean FROM (SELECT term, count(*)::DOUBLE AS df FROM i GROUP BY term), t), w AS (SELECT term, mean, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM f) ELSE raw END AS idf FROM f)
     SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM i JOIN q USING (term) JOIN w USING (term) GROUP BY ALL) WHERE score > 0) WHERE rank <= 50"""
 )
 def bm25_search(spark, sf_dir):
-    sizes = docs(spark, sf_dir).select(F.size(T.words(F.col("text"))).alias("dl"))
-    return R.bm25_topk(_index(spark, sf_dir), sizes, _asked(spark, sf_dir, 8), "doc_id", 50).select("query_id", "doc_id", "score", "rank")
+    return R.bm25_topk(docs(spark, sf_dir), _asked(spark, sf_dir), "doc_id", T.words(F.col("text")), 50).select("query_id", "doc_id", "score", "rank")
 
 
-_VEC = f"SELECT query_id, vec_id AS doc_id, rank FROM ({_TOP.format(f'SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings v, embeddings q WHERE q.vec_id < 40', 50)})"
+_VEC = f"SELECT query_id, vec_id AS doc_id, rank FROM ({_TOP.format(f'SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings v, embeddings q SEMI JOIN benchmark b ON b.item_id = q.vec_id', 50)})"
 _FUSED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank_0 NULLS LAST, rank_1 NULLS LAST, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(CASE WHEN l = 0 THEN r END) AS rank_0, min(CASE WHEN l = 1 THEN r END) AS rank_1
     FROM (SELECT query_id, doc_id, rank AS r, 0 AS l FROM ({_VEC}) UNION ALL SELECT query_id, doc_id, rank, 1 FROM ({_KEYWORD})) GROUP BY ALL)"""
 
 
 def _fused(spark, sf_dir) -> DataFrame:
-    q = vectors(spark, sf_dir).where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    """Each benchmark item asks, with its words and with the vector of its number."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    q = vectors(spark, sf_dir).join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     v = R.vector_topk(vectors(spark, sf_dir), q, "vec_id", 50).withColumnRenamed("vec_id", "doc_id")
     return R.fused([v, _keyword(spark, sf_dir)], "doc_id")
 
@@ -156,12 +176,12 @@ def hybrid_pages(spark, sf_dir):
     return p.select("query_id", "page_rank", "document_key", "page_number", "page_score", F.array_join(F.transform("passages", lambda x: x["id"].cast("string")), ",").alias("passages"))
 
 
-_PARENTS = f"SELECT doc_id, 'upload:doc' || doc_id || ':p1_s0' AS parent_id, {s_norm('text')} AS content FROM documents WHERE doc_id % 5 <> 0"
+_PARENTS = f"SELECT doc_id, 'upload:doc' || doc_id || ':p1_s0' AS parent_id, {s_norm('text')} AS content FROM documents"
 _CHILDREN = f"SELECT doc_id, pos, 'upload:doc' || doc_id || ':p1_s0' AS parent_id, chunk FROM ({S_CHUNKS})"
 
 
 def _parents(spark, sf_dir) -> DataFrame:
-    d = docs(spark, sf_dir).where("doc_id % 5 != 0")
+    d = docs(spark, sf_dir)
     return d.select("doc_id", F.concat(F.lit("upload:doc"), F.col("doc_id").cast("string"), F.lit(":p1_s0")).alias("parent_id"), T.normalize(F.col("text")).alias("content"))
 
 

@@ -70,13 +70,13 @@ def relational_pipeline(spark, sf_dir):
 
 
 _SAFE = r"""regexp_matches(s, '(?i)^\s*(SELECT|WITH)\b') AND NOT regexp_matches(s, '(?i)\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|REPLACE|MERGE|GRANT|REVOKE|EXEC|EXECUTE|ATTACH|DETACH)\b') AND NOT contains(s, ';')"""
-_STATEMENT = "CASE conv_id % 6 WHEN 0 THEN 'select ' || turn || ';' WHEN 1 THEN 'WITH x AS (SELECT 1) SELECT * FROM x' WHEN 2 THEN 'DROP TABLE t' WHEN 3 THEN 'SELECT 1; SELECT 2' WHEN 4 THEN 'SELECT replace(a, b)' ELSE 'SELECT ' || substr(text, 1, 60) END"
+_STATEMENT = "CASE conv_id % 6 WHEN 0 THEN 'select ' || turn || ';' WHEN 1 THEN 'WITH x AS (SELECT 1) SELECT * FROM x' WHEN 2 THEN 'DROP TABLE t' WHEN 3 THEN 'SELECT 1; SELECT 2' WHEN 4 THEN 'SELECT replace(a, b)' ELSE 'SELECT ' || text END"
 
 
 @query(f"SELECT conv_id, turn, {_SAFE} AS safe FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace({_STATEMENT}, '^\\s+|\\s+$', '', 'g'), ';+$', ''), '^\\s+|\\s+$', '', 'g') AS s FROM conversations)")
 def sql_gate(spark, sf_dir):
     i = F.col("conv_id") % 6
-    s = F.when(i == 0, F.concat(F.lit("select "), F.col("turn").cast("string"), F.lit(";"))).when(i == 1, "WITH x AS (SELECT 1) SELECT * FROM x").when(i == 2, "DROP TABLE t").when(i == 3, "SELECT 1; SELECT 2").when(i == 4, "SELECT replace(a, b)").otherwise(F.concat(F.lit("SELECT "), F.substring("text", 1, 60)))
+    s = F.when(i == 0, F.concat(F.lit("select "), F.col("turn").cast("string"), F.lit(";"))).when(i == 1, "WITH x AS (SELECT 1) SELECT * FROM x").when(i == 2, "DROP TABLE t").when(i == 3, "SELECT 1; SELECT 2").when(i == 4, "SELECT replace(a, b)").otherwise(F.concat(F.lit("SELECT "), "text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", looks_safe(s).alias("safe"))
 
 
@@ -86,13 +86,13 @@ _PROFILED = "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_m
 def _s_profile() -> str:
     name, cols = _PROFILED
     one = lambda i, c: f"SELECT {i}::INT AS place, '{c}' AS name, count({c})::BIGINT AS non_null, count(*)::BIGINT AS total, count(DISTINCT {c})::BIGINT AS distinct_values, array_to_string(list_sort(list_distinct(list({c}::VARCHAR)))[1:5], ',') AS samples, {'min(' + c + ')::DOUBLE' if c not in ('c_name', 'c_mktsegment') else 'NULL::DOUBLE'} AS least, {'max(' + c + ')::DOUBLE' if c not in ('c_name', 'c_mktsegment') else 'NULL::DOUBLE'} AS most FROM {name}"
-    return " UNION ALL ".join(one(i, c) for i, c in enumerate(cols) if c != "c_acctbal")
+    return " UNION ALL ".join(one(i, c) for i, c in enumerate(cols))
 
 
 @query(_s_profile())
 def table_profile(spark, sf_dir):
     p = sheets.profile(table(spark, sf_dir, "customer").select(*_PROFILED[1]))
-    return p.where("name != 'c_acctbal'").select("place", "name", "non_null", "total", F.col("distinct").alias("distinct_values"), F.array_join("samples", ",").alias("samples"), "least", "most")
+    return p.select("place", "name", "non_null", "total", F.col("distinct").alias("distinct_values"), F.array_join("samples", ",").alias("samples"), "least", "most")
 
 
 @query("SELECT 'region' AS table_name, 0 AS place, '  - r_regionkey (int, ' || count(*) || '/' || count(*) || ' non-null, ' || count(DISTINCT r_regionkey) || ' unique) — values: [' || string_agg(r_regionkey::VARCHAR, ', ' ORDER BY r_regionkey) || '] — range: [' || min(r_regionkey)::DOUBLE || ', ' || max(r_regionkey)::DOUBLE || ']' AS line FROM region UNION ALL SELECT 'region', 1, '  - r_name (string, ' || count(*) || '/' || count(*) || ' non-null, ' || count(DISTINCT r_name) || ' unique) — values: [' || string_agg(r_name, ', ' ORDER BY r_name) || ']' FROM region")

@@ -65,11 +65,11 @@ def normalize_text(spark, sf_dir):
 _slug = r"coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document')"
 
 
-@query(f"SELECT doc_id, {_slug.format('substr(text, 1, 60)')} AS slug, CASE WHEN doc_id % 3 = 0 THEN 'mayan:' || doc_id ELSE 'upload:' || {_slug.format('source')} END AS document_key FROM documents")
+@query(f"SELECT doc_id, {_slug.format('text')} AS slug, CASE WHEN doc_id % 3 = 0 THEN 'mayan:' || doc_id ELSE 'upload:' || {_slug.format('source')} END AS document_key FROM documents")
 def slug_keys(spark, sf_dir):
     d = docs(spark, sf_dir)
     external = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))
-    return d.select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"), T.document_key(F.col("source"), external).alias("document_key"))
+    return d.select("doc_id", T.slug(F.col("text")).alias("slug"), T.document_key(F.col("source"), external).alias("document_key"))
 
 
 @query(s_unnested(f"SELECT doc_id, {s_sentences('text')} AS v FROM documents", "sentence"))
@@ -190,12 +190,12 @@ def _s_ratio(t: str) -> str:
 
 
 @query(
-    f"""WITH j AS (SELECT d.doc_id, {s_strip("CASE WHEN d.doc_id % 3 = 0 THEN substr(d.text, 1, 60) ELSE d.text END")} AS a, {s_strip("coalesce(p.html, '')")} AS b FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id),
+    f"""WITH j AS (SELECT d.doc_id, {s_strip("CASE WHEN d.doc_id % 3 = 0 THEN d.source ELSE d.text END")} AS a, {s_strip("coalesce(p.html, '')")} AS b FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id),
     r AS (SELECT *, {_s_ratio('a')} AS ra, {_s_ratio('b')} AS rb FROM j)
     SELECT doc_id, b <> '' AND ((length(a) < 80 AND length(b) >= 80) OR (ra < 0.45 AND rb > ra + 0.1) OR (length(a) > 0 AND length(b) > length(a) * 1.5 AND rb >= ra)) AS use_ocr, round(ra, 6) AS native_ratio FROM r"""
 )
 def ocr_choice(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 60)).otherwise(F.col("text")).alias("native"))
+    d = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.col("text")).alias("native"))
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("ocr"))
     return d.join(p, "doc_id", "left").select("doc_id", T.prefers_ocr(F.col("native"), F.col("ocr")).alias("use_ocr"), F.round(T.letter_ratio(F.col("native")), 6).alias("native_ratio"))
 
@@ -225,14 +225,14 @@ def context_prefix(spark, sf_dir):
 
 def _questions(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    q = lambda start: F.concat(F.lit(start), F.substring("text", 1, 80))
+    q = lambda start: F.concat(F.lit(start), "text")
     i = (F.col("conv_id") + F.col("turn")) % 6
     said = F.when(i == 0, q("What is the total of ")).when(i == 1, q("Explain the concept of ")).when(i == 2, q("Show me all information about ")).when(i == 3, q("How many rows where x > 5 in ")).when(i == 4, q("Please explain the average ")).otherwise(F.col("text"))
     return c.select("conv_id", "turn", said.alias("q"))
 
 
-_Q = """SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'What is the total of ' || substr(text, 1, 80) WHEN 1 THEN 'Explain the concept of ' || substr(text, 1, 80) WHEN 2 THEN 'Show me all information about ' || substr(text, 1, 80)
-    WHEN 3 THEN 'How many rows where x > 5 in ' || substr(text, 1, 80) WHEN 4 THEN 'Please explain the average ' || substr(text, 1, 80) ELSE text END AS q FROM conversations"""
+_Q = """SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'What is the total of ' || text WHEN 1 THEN 'Explain the concept of ' || text WHEN 2 THEN 'Show me all information about ' || text
+    WHEN 3 THEN 'How many rows where x > 5 in ' || text WHEN 4 THEN 'Please explain the average ' || text ELSE text END AS q FROM conversations"""
 
 
 def _s_topic() -> str:
@@ -286,7 +286,7 @@ def context_lines(spark, sf_dir):
 @query(
     """WITH RECURSIVE n AS (SELECT lang, source, doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY source)::BIGINT AS k, sum(length(left(text, 500)) + 5) OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents),
     walk AS (SELECT DISTINCT lang, 0::BIGINT AS k, 0::HUGEINT AS used FROM n
-      UNION ALL SELECT w.lang, w.k + 1, w.used + coalesce((SELECT max(r) FROM n WHERE n.lang = w.lang AND n.k = w.k + 1 AND w.used + r <= 30000), 0) FROM walk w WHERE w.k < 20)
+      UNION ALL SELECT w.lang, w.k + 1, w.used + coalesce((SELECT max(r) FROM n WHERE n.lang = w.lang AND n.k = w.k + 1 AND w.used + r <= 12000), 0) FROM walk w WHERE w.k < 20)
     SELECT w.lang, n.source, w.k, (w.used - b.used)::BIGINT AS taken FROM walk w JOIN walk b ON b.lang = w.lang AND b.k = w.k - 1 JOIN (SELECT DISTINCT lang, source, k FROM n) n ON n.lang = w.lang AND n.k = w.k"""
 )
 def context_budget(spark, sf_dir):
@@ -294,5 +294,5 @@ def context_budget(spark, sf_dir):
     from ..operators.retrieval import budget_by_group
 
     d = docs(spark, sf_dir).select("lang", "source", "doc_id", F.concat(F.substring("text", 1, 500), F.lit("#####")).alias("part"))
-    taken = budget_by_group(d, "lang", "source", "doc_id", "part", 30_000)
+    taken = budget_by_group(d, "lang", "source", "doc_id", "part", 12_000)
     return taken.select("lang", "source", "k", F.length("taken").cast("long").alias("taken"))
