@@ -7,6 +7,9 @@ rule that a parent without children gives its own body, which is decided inside
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,50 @@ def sections_of(documents: DataFrame) -> DataFrame:
     return made
 
 
-def chunked(documents: DataFrame) -> DataFrame:
+#: A provider of text: asks a model for each prompt; null or empty where it has none.
+Ask = Callable[[pd.Series], pd.Series]
+MODES = ("off", "template", "llm", "full_llm")
+# Types that a model may give a document.
+VALID_TYPES = ("research_paper", "contract", "invoice", "resume", "technical_manual", "financial_report", "presentation", "medical_document", "general")
+
+
+def asked_type(prompt: Column, fallback: Column, ask: Ask | None) -> Column:
+    """A model's document type if it is one of the valid ones, else the fallback; a suffix for images stays."""
+    if ask is None:
+        return fallback
+    said = F.regexp_replace(F.replace(F.lower(T.strip(F.pandas_udf(ask, "string")(prompt))), F.lit(" "), F.lit("_")), "[^a-z_]", "")
+    suffix = F.when(F.endswith(fallback, F.lit("_with_images")), "_with_images").otherwise("")
+    return F.when(said.isin(*VALID_TYPES), F.concat(said, suffix)).otherwise(fallback)
+
+
+def enriched(chunks: DataFrame, mode: str = "template", ask: Ask | None = None, preview: str | None = None) -> DataFrame:
+    """Adds enriched_content. Parents keep their text in all modes, children too in `off`; else a child gets its context in front: from the
+    template, in `llm` with a model's summary of the document (`preview`, one for each title and type), in `full_llm` the model's own words for the chunk.
+    Where the model has no answer, the template stands."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    child, own = F.col("chunk_type") == "child", F.col("content")
+    context = T.context_prefix(F.col("title"), F.col("doc_type"), F.col("section"), F.col("page_number"))
+    if mode in ("llm", "full_llm") and ask is not None:
+        model = F.pandas_udf(ask, "string")
+        if preview:
+            summaries = chunks.groupBy("title", "doc_type").agg(F.min(preview).alias("preview")).select("title", "doc_type", model("preview").alias("summary"))
+            chunks = chunks.join(summaries, ["title", "doc_type"], "left")
+            usual = F.concat(F.lit("This is a "), F.replace("doc_type", F.lit("_"), F.lit(" ")), F.lit(" titled '"), "title", F.lit("'."))
+            context = F.when(T.strip(F.coalesce("summary", F.lit(""))) != "", F.replace(context, usual, F.col("summary"))).otherwise(context)
+        if mode == "full_llm":
+            chunks = chunks.withColumn("situated", model(F.when(child, own)))
+            context = F.when(T.strip(F.coalesce("situated", F.lit(""))) != "", T.strip(F.col("situated"))).otherwise(context)
+    made = chunks.withColumn("enriched_content", own if mode == "off" else F.when(child & (context != ""), F.concat(context, F.lit("\n\n"), own)).otherwise(own))
+    return made.drop("summary", "situated")
+
+
+def with_document_metadata(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks with their document's type, tags and cabinets (document_key, document_type, tags, cabinets), so that search can filter by them."""
+    return chunks.join(documents.select("document_key", "document_type", "tags", "cabinets"), "document_key", "left")
+
+
+def chunked(documents: DataFrame, mode: str = "template", ask: Ask | None = None) -> DataFrame:
     """Rows of chunks: document_key, document_name, doc_type, page_number, section, chunk_type, parent_id, ordinal, content,
     enriched_content, start_line, end_line, lines, id."""
     s = sections_of(documents).withColumnRenamed("section", "sec")
@@ -81,10 +127,8 @@ def chunked(documents: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.array(chunk("parent", F.col("parent_id"), F.concat("prefix", "body"), lines, start, stop)), F.transform(kids, child)))
     )
     flat = split.select("document_key", "document_name", "title", "doc_type", "page_number", "s_idx", F.col("section_name").alias("section"), F.posexplode(every).alias("ordinal", "c")).select("*", "c.*").drop("c")
-    context = T.context_prefix(F.col("title"), F.col("doc_type"), F.col("section"), F.col("page_number"))
-    enriched = F.when(F.col("chunk_type") == "child", F.concat(context, F.lit("\n\n"), F.col("content"))).otherwise(F.col("content"))
     ident = T.chunk_id(F.col("document_key"), F.concat_ws(":", F.col("page_number").cast("string"), F.col("s_idx").cast("string"), F.col("ordinal").cast("string")), F.col("content"))
-    return flat.withColumn("enriched_content", enriched).withColumn("id", ident)
+    return enriched(flat, mode, ask).withColumn("id", ident)
 
 
 def semantic_chunks(sentences: DataFrame, percentile: float = 0.25) -> DataFrame:
@@ -102,17 +146,41 @@ def semantic_chunks(sentences: DataFrame, percentile: float = 0.25) -> DataFrame
     return ordered.select("doc_id", F.posexplode(folds.limited(F.col("chunks"), T.sentences)).alias("pos", "chunk"))
 
 
-def evaluated(chunks: DataFrame, min_parent_chars: int = 140) -> DataFrame:
-    """Counts for each document: parents, children, duplicates, short parents, suspicious titles, unenriched, tables."""
+#: Counts with an upper bound in the expectations, and what a failure calls them.
+BOUNDS = {"parents": ("max_parents", "parent count"), "children": ("max_children", "child count"), "duplicates": ("max_duplicate_children", "duplicate child chunks"), "short_parents": ("max_short_parents", "short parent chunks"), "forbidden_hits": ("max_forbidden_hits", "forbidden section hits")}
+
+
+def evaluated(chunks: DataFrame, expectations: DataFrame | None = None) -> DataFrame:
+    """Counts for each document: parents, children, duplicates, short parents, suspicious titles, unenriched, tables; with
+    expectations (document_key, expectations: the struct of structured JSON) also forbidden hits (parents only), missing sections, failures
+    and whether it passes. Without them, parents are short below 140 characters."""
     parents = chunks.where("chunk_type = 'parent'").select("parent_id", F.col("content").alias("parent_text"))
     j = chunks.join(parents, "parent_id", "left")
     is_parent, is_child = F.col("chunk_type") == "parent", F.col("chunk_type") == "child"
-    odd = F.startswith("section", F.lit("[body]")) | F.col("section").rlike("^[^A-Z0-9]") | ((F.size(F.split(F.trim("section"), r"\s+")) <= 2) & F.endswith("section", F.lit(".")))
+    section = T.strip(F.coalesce("section", F.lit("")))
+    odd = F.startswith(section, F.lit("[body]")) | section.rlike("^[^A-Z0-9]") | ((F.size(F.split(section, r"\s+")) <= 2) & F.endswith(section, F.lit(".")))
     dup = is_child & F.col("parent_text").isNotNull() & (T.duplicate_ratio(F.col("parent_text"), F.col("content")) >= 0.9)
-    return j.groupBy("document_key").agg(
-        F.count_if(is_parent).alias("parents"), F.count_if(is_child).alias("children"), F.count_if(dup).alias("duplicates"), F.count_if(is_parent & (F.length("content") < min_parent_chars)).alias("short_parents"),
-        F.count_if(is_parent & (F.col("section") != "") & odd).alias("suspicious_titles"), F.count_if(is_child & (F.coalesce("enriched_content", F.lit("")) == "")).alias("unenriched"), F.count_if(F.contains("content", F.lit("[Table"))).alias("tables"),
-    )
+    least, hits = F.lit(PARENT_MIN), F.lit(0)
+    if expectations is not None:
+        j = j.join(expectations.select("document_key", "expectations"), "document_key", "left")
+        least = F.coalesce("expectations.min_parent_chars", least)
+        patterns = F.coalesce("expectations.forbidden_section_patterns", F.array().cast("array<string>"))
+        found = lambda p: F.regexp_like(section, F.concat(F.lit("(?i)"), p)) | F.regexp_like("content", F.concat(F.lit("(?i)"), p))
+        hits = F.when(is_parent, F.size(F.filter(patterns, found))).otherwise(0)
+    counts = [
+        F.count_if(is_parent).alias("parents"), F.count_if(is_child).alias("children"), F.count_if(dup).alias("duplicates"), F.count_if(is_parent & (F.length("content") < least)).alias("short_parents"),
+        F.count_if(is_parent & (section != "") & odd).alias("suspicious_titles"), F.count_if(is_child & (F.coalesce("enriched_content", F.lit("")) == "")).alias("unenriched"), F.count_if(F.contains("content", F.lit("[Table"))).alias("tables"),
+    ]
+    if expectations is None:
+        return j.groupBy("document_key").agg(*counts)
+    sections = F.collect_set(F.when(is_parent, F.lower(section)))
+    g = j.groupBy("document_key").agg(*counts, F.sum(hits).alias("forbidden_hits"), F.first("expectations").alias("e"), sections.alias("sections"))
+    wanted = F.coalesce("e.must_include_sections", F.array().cast("array<string>"))
+    missing = F.filter(wanted, lambda w: ~F.exists("sections", lambda x: F.contains(x, F.lower(w))))
+    over = [F.when(F.col(c) > F.col(f"e.{bound}"), F.concat(F.lit(f"{said} "), F.col(c).cast("string"), F.lit(" > "), F.col(f"e.{bound}").cast("string"))) for c, (bound, said) in BOUNDS.items()]
+    others = [F.when(F.size("missing") > 0, F.concat(F.lit("missing sections: "), F.array_join("missing", ", "))), F.when(F.col("unenriched") > 0, F.concat(F.lit("unenriched children "), F.col("unenriched").cast("string")))]
+    judged = g.withColumn("missing", missing).withColumn("failures", F.array_compact(F.array(*over, *others)))
+    return judged.withColumn("verdict", F.when(F.size("failures") == 0, "PASS").otherwise("FAIL")).drop("e", "sections")
 
 
 def page_chunks(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import accepted_tags, accepted_value, type_change
 from ..sources.tables import table
-from ..streaming.events import event_key, replayed
+from ..streaming.events import STAGES, event_key, failure_message, progress, replayed, status_tag
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,37 +27,44 @@ def events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-_EV = "SELECT event_id, ts, event_type || ':doc:' || user_id || ':version:' || CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE (event_id % 2)::VARCHAR END AS key, CASE event_id % 4 WHEN 0 THEN 'failed' ELSE 'completed' END AS outcome FROM events"
+_EV = "SELECT event_id, ts, event_type || ':doc:' || user_id || ':version:' || CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE (event_id % 2)::VARCHAR END AS key, CASE WHEN event_id % 4 = 0 THEN 'failed' WHEN event_id % 8 = 5 THEN 'processing' ELSE 'completed' END AS outcome FROM events"
 
 
 def _outcomes(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir)
     key = event_key(F.lit(None).cast("string"), F.col("event_type"), F.col("user_id"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 2))
-    return e.select("event_id", "ts", key.alias("key"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("completed").alias("outcome"))
+    return e.select("event_id", "ts", key.alias("key"), F.when(F.col("event_id") % 4 == 0, "failed").when(F.col("event_id") % 8 == 5, "processing").otherwise("completed").alias("outcome"))
 
 
-@query(f"SELECT event_id, key, coalesce(lag(outcome) OVER (PARTITION BY key ORDER BY ts, event_id) = 'failed', TRUE) OR FALSE AS started FROM (SELECT *, sum((outcome = 'completed')::INT) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM ({_EV})) WHERE coalesce(done, 0) = 0 UNION ALL SELECT event_id, key, FALSE FROM (SELECT *, sum((outcome = 'completed')::INT) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM ({_EV})) WHERE done > 0")
+_REPLAYED = f"SELECT *, CASE WHEN done = 1 THEN 'completed' ELSE outcome END AS status FROM (SELECT *, max((outcome = 'completed')::INT) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done FROM ({_EV}))"
+
+
+@query(f"SELECT event_id, key, status, coalesce(lag(status) OVER (PARTITION BY key ORDER BY ts, event_id) = 'failed', TRUE) AS started FROM ({_REPLAYED})")
 def event_dedupe(spark, sf_dir):
-    """An event starts work unless its key is done; failures may be tried again."""
-    return replayed(_outcomes(spark, sf_dir)).select("event_id", "key", "started")
+    """An event starts work unless its key is done or in work; failures may be tried again."""
+    return replayed(_outcomes(spark, sf_dir)).select("event_id", "key", "status", "started")
 
 
-@query(f"SELECT key, count(*)::BIGINT AS n, list(outcome ORDER BY ts, event_id)[-1] AS last, CASE WHEN bool_or(outcome = 'completed') THEN 'ready' ELSE 'error' END AS tag FROM ({_EV}) GROUP BY key")
+@query(f"SELECT key, count(*)::BIGINT AS n, arg_max(outcome, (ts, event_id)) AS last, CASE arg_max(status, (ts, event_id)) WHEN 'completed' THEN 'ready' WHEN 'failed' THEN 'error' ELSE 'processing' END AS tag FROM ({_REPLAYED}) GROUP BY key")
 def event_status(spark, sf_dir):
-    g = _outcomes(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"), F.max_by("outcome", F.struct("ts", "event_id")).alias("last"), F.max(F.col("outcome") == "completed").alias("done"))
-    return g.select("key", "n", "last", F.when(F.col("done"), "ready").otherwise("error").alias("tag"))
+    order = F.struct("ts", "event_id")
+    g = replayed(_outcomes(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n"), F.max_by("outcome", order).alias("last"), F.max_by("status", order).alias("status"))
+    return g.select("key", "n", "last", status_tag(F.col("status")).alias("tag"))
+
+
+@query(f"SELECT event_id, key, substr(repeat(outcome || ' ', 300), 1, 2000) AS message FROM ({_EV}) WHERE outcome = 'failed'")
+def event_failures(spark, sf_dir):
+    return _outcomes(spark, sf_dir).where("outcome = 'failed'").select("event_id", "key", failure_message(F.repeat(F.concat("outcome", F.lit(" ")), 300)).alias("message"))
 
 
 _STATE = "CASE event_id % 5 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'STARTED' WHEN 2 THEN 'PROGRESS' WHEN 3 THEN 'SUCCESS' ELSE 'FAILURE' END"
 
 
-@query(f"SELECT event_id, s AS state, CASE s WHEN 'PENDING' THEN 0 WHEN 'STARTED' THEN 5 WHEN 'SUCCESS' THEN 100 WHEN 'PROGRESS' THEN 10 + (event_id % 4)::INT * 25 ELSE 0 END::INT AS progress FROM (SELECT event_id, {_STATE} AS s FROM events)")
+@query(f"SELECT event_id, s AS state, CASE s WHEN 'PENDING' THEN 0 WHEN 'STARTED' THEN 5 WHEN 'SUCCESS' THEN 100 WHEN 'PROGRESS' THEN CASE event_id % 7 WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 50 WHEN 3 THEN 70 WHEN 4 THEN 85 ELSE 0 END + CASE WHEN event_id % 2 = 1 AND event_id % 7 < 4 THEN 10 ELSE 0 END ELSE 0 END::INT AS progress FROM (SELECT event_id, {_STATE} AS s FROM events)")
 def event_progress(spark, sf_dir):
-    from ..streaming.events import progress
-
     i = F.col("event_id") % 5
     s = F.when(i == 0, "PENDING").when(i == 1, "STARTED").when(i == 2, "PROGRESS").when(i == 3, "SUCCESS").otherwise("FAILURE")
-    return events(spark, sf_dir).select("event_id", s.alias("state")).withColumn("progress", progress(F.col("state"), (F.col("event_id") % 4).cast("int")))
+    return events(spark, sf_dir).select("event_id", s.alias("state")).withColumn("progress", progress(F.col("state"), F.get(F.array(*map(F.lit, STAGES)), (F.col("event_id") % 7).cast("int")), F.col("event_id") % 2 == 1))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS window_start, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -77,11 +85,11 @@ def event_session(spark, sf_dir):
     return g.select("user_id", F.col("session_window.start").alias("session_start"), "n")
 
 
-@query("SELECT user_id, event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+@query("SELECT user_id, event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY")
 def audit_recent(spark, sf_dir):
     e = events(spark, sf_dir)
     last = e.agg(F.max("ts").alias("last"))
-    return e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS")).select("user_id", "event_id", "event_type")
+    return e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 30 DAYS")).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS day, count(*)::BIGINT AS n FROM events WHERE event_type <> 'view' GROUP BY ALL HAVING count(*) > 2")
@@ -131,11 +139,13 @@ def replace_documents(spark, sf_dir):
     return replaced(d.withColumn("version", F.lit("old")), d.where("doc_id % 10 = 0").withColumn("version", F.lit("new")), "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN source <> 'src0' THEN NULL ELSE lang END AS set_type, array_to_string(list_filter(['lang: ' || lang, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'size: ' || n_chars END], lambda x: x IS NOT NULL), ',') AS values FROM documents")
+@query("""SELECT doc_id, CASE WHEN source = 'src0' AND lang IS NOT NULL THEN lang END AS set_type, array_to_string(list_filter(['lang: ' || lang, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'size: ' || n_chars END], lambda x: x IS NOT NULL), ',') AS values,
+    array_to_string(list_slice(list_filter(['AI', lang, source, CASE WHEN doc_id % 2 = 0 THEN 'even' END, 'n' || doc_id % 3, 'm' || doc_id % 5], lambda x: x IS NOT NULL), 1, 5), ',') AS tags FROM documents""")
 def write_back(spark, sf_dir):
-    from ..sources.sinks import accepted_value
-
     d = table(spark, sf_dir, "documents")
     said = F.when(F.col("doc_id") % 4 == 0, "N/A").otherwise(F.col("n_chars").cast("string"))
     pair = lambda n, v: F.when(accepted_value(v).isNotNull(), F.concat(F.lit(f"{n}: "), accepted_value(v)))
-    return d.select("doc_id", F.when(F.col("source") == "src0", F.col("lang")).alias("set_type"), F.concat_ws(",", pair("lang", F.col("lang")), pair("size", said)).alias("values"))
+    tag = lambda p, n: F.concat(F.lit(p), (F.col("doc_id") % n).cast("string"))
+    tags = F.array(F.lit(" AI "), F.coalesce("lang", F.lit("")), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise(" "), F.lit("AI"), tag("n", 3), tag("m", 5))
+    kind = type_change(F.when(F.col("source") == "src0", "Default").otherwise("Contract"), F.col("lang"))
+    return d.select("doc_id", kind.alias("set_type"), F.concat_ws(",", pair("lang", F.col("lang")), pair("size", said)).alias("values"), F.array_join(accepted_tags(tags), ",").alias("tags"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.sheets import clean_names
 
@@ -112,7 +113,8 @@ def raw_cells(cells: DataFrame) -> DataFrame:
 
 
 def rest_pages(spark: SparkSession, fetch, pages: int) -> DataFrame:
-    """Rows of a paged REST service: `fetch(page)` returns a list of dicts (id, label, doc_type, page_count); pages are read in parallel."""
+    """Rows of a paged REST service: `fetch(page)` returns a list of dicts (id, label, doc_type, page_count); pages are read in parallel,
+    several a task."""
     schema = "id bigint, label string, doc_type string, page_count int"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,4 +122,78 @@ def rest_pages(spark: SparkSession, fetch, pages: int) -> DataFrame:
             for p in pdf["id"]:
                 yield pd.DataFrame(fetch(int(p)), columns=["id", "label", "doc_type", "page_count"])
 
-    return spark.range(1, pages + 1, numPartitions=max(1, pages)).mapInPandas(read, schema)
+    return spark.range(1, pages + 1, numPartitions=max(1, min(pages, spark.sparkContext.defaultParallelism))).mapInPandas(read, schema)
+
+
+def csv_preview(df: DataFrame, rows: int = 100) -> str:
+    """The first rows as a markdown table; a preview only, the frame stays whole."""
+    head = df.limit(rows).collect()
+    lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in head])
+
+
+def flat_sheets(cells: DataFrame) -> DataFrame:
+    """Sheets without any table found, read flat: the first row that holds something names the columns, rows follow.
+
+    cells (as `workbooks` gives them) -> document_key, sheet, row_index (from 0), c, name, v; empty rows and columns have no cells."""
+    keys = ["document_key", "sheet"]
+    some = cells.where((F.col("sheet_state") != "error") & (F.trim(F.coalesce("v", F.lit(""))) != ""))
+    first = some.groupBy(*keys).agg(F.min("r").alias("head"))
+    at = some.join(first, keys)
+    clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim("v")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    names = at.where("r = head").select(*keys, "c", F.when(clean != "", clean).alias("name"))
+    body = at.where("r > head").withColumn("row_index", F.dense_rank().over(Window.partitionBy(*keys).orderBy("r")) - 1)
+    return body.join(names, [*keys, "c"], "left").select(*keys, "row_index", "c", F.coalesce("name", F.concat(F.lit("col_"), F.col("c").cast("string"))).alias("name"), "v")
+
+
+def parsed(files: DataFrame, parsers: dict[str, Callable[[str, bytes], list[dict]]]) -> DataFrame:
+    """(path, content) -> path, parser, error, page_number, title, level, content, section_type. Parsers are tried in their order; the
+    first that doesn't raise gives the sections. A file that none can read is one row with a null parser and all errors: a reject."""
+    columns = ["page_number", "title", "level", "content", "section_type"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                errors, rows = [], None
+                for name, parse in parsers.items():
+                    try:
+                        rows = [(path, name, None, *(s.get(c, d) for c, d in zip(columns, (1, "", 3, "", "text"), strict=True))) for s in parse(path, bytes(data))]
+                        break
+                    except Exception as e:  # a parser may raise anything; the next one gets its try
+                        errors.append(f"{name}: {e}")
+                if rows is None:
+                    rows = [(path, None, "; ".join(errors)[:2000], None, None, None, None, None)]
+                yield pd.DataFrame(rows, columns=["path", "parser", "error", *columns]).astype({"page_number": "Int32", "level": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, parser string, error string, page_number int, title string, level int, content string, section_type string")
+
+
+def scanned_pages(versions: DataFrame, scans: DataFrame) -> DataFrame:
+    """versions (doc_id, position, version_id), scans (version_id, position from 0, content, text) -> doc_id, page_number, text.
+
+    Only the version listed first counts; a scan's text is its content, else its text."""
+    first = versions.groupBy("doc_id").agg(F.min_by("version_id", "position").alias("version_id"))
+    said = F.coalesce(F.when(F.col("content") != "", F.col("content")), F.col("text"), F.lit(""))
+    return first.join(scans, "version_id").select("doc_id", (F.col("position") + 1).alias("page_number"), said.alias("text"))
+
+
+def with_metadata(documents: DataFrame, types: DataFrame, tags: DataFrame, cabinets: DataFrame) -> DataFrame:
+    """documents (doc_id, ...) with document_type, tags and cabinets; labels are distinct and sorted, none are an empty array.
+
+    types (doc_id, label), tags and cabinets (doc_id, label), many for each document."""
+    labels = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias(name))
+    none = F.array().cast("array<string>")
+    j = documents.join(types.select("doc_id", F.col("label").alias("document_type")), "doc_id", "left").join(labels(tags, "tags"), "doc_id", "left").join(labels(cabinets, "cabinets"), "doc_id", "left")
+    return j.withColumn("document_type", F.coalesce("document_type", F.lit(""))).withColumn("tags", F.coalesce("tags", none)).withColumn("cabinets", F.coalesce("cabinets", none))
+
+
+def rest_documents(spark: SparkSession, ids: DataFrame, token: Callable[[], str], get: Callable[[int, str], dict], download: Callable[[int, str], bytes]) -> DataFrame:
+    """(id) -> id, label, doc_type, page_count, content: details and the latest file of each document. A token is fetched once a task."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = token()
+        for pdf in batches:
+            rows = [(i, d.get("label", ""), d.get("doc_type", ""), d.get("page_count", 0), download(i, key)) for i in map(int, pdf["id"]) for d in [get(i, key)]]
+            yield pd.DataFrame(rows, columns=["id", "label", "doc_type", "page_count", "content"])
+
+    return ids.select("id").mapInPandas(read, "id bigint, label string, doc_type string, page_count int, content binary")

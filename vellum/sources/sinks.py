@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,21 +18,25 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def replace_by_document(new: DataFrame, path: str, key: str = "document_key") -> None:
-    """Rewrites only the buckets of the new documents, each at once (dynamic partition overwrite)."""
+    """Rewrites only the buckets of the new documents, each at once (dynamic partition overwrite). One writer at a time is assumed;
+    each has a stage of its own, which goes when the table is written."""
     spark = new.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
     fresh = new.withColumn("bucket", bucket)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    files, staged = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), None
+    if files.exists(at):
         touched = fresh.select("bucket").distinct()
         old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
         # The result is written beside the table before any of its buckets is replaced.
         fresh = replaced(old.select(*fresh.columns), fresh, key)
-        staged = f"{path.rstrip('/')}__staged"
+        staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
         fresh.write.mode("overwrite").parquet(staged)
         fresh = spark.read.schema(fresh.schema).parquet(staged)
     fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if staged:
+        files.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

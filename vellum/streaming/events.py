@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,8 @@ from pyspark.sql.window import Window
 
 #: Retries of a task and the waits before them, in seconds.
 RETRY_WAITS = (60, 180, 540)
-STAGES = (("parse", 10), ("chunk", 30), ("embed", 50), ("index", 70), ("store", 85))
+#: Stages of a task with the percentages at which they begin and go on.
+STAGES = {"parsing": (10, 20), "enriching": (30, 40), "chunking": (50, 60), "embedding": (70, 80), "storing": (85, 85)}
 
 
 def event_key(event_id: Column, event: Column, document: Column, version: Column) -> Column:
@@ -21,15 +23,19 @@ def event_key(event_id: Column, event: Column, document: Column, version: Column
 
 
 def replayed(outcomes: DataFrame) -> DataFrame:
-    """Batch twin of `deduplicated`: (key, ts, event_id, outcome) -> started, false once the key is done before."""
-    before = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.coalesce(F.max(F.col("outcome") == "completed").over(before), F.lit(False))
-    return outcomes.withColumn("started", ~done)
+    """Batch twin of `deduplicated`: (key, ts, event_id, outcome) -> started, status. An event starts work unless its key is done or
+    in work; what failed may be tried again. A key once completed stays so; until then its status is its latest outcome."""
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    status = F.when(F.max(F.col("outcome") == "completed").over(upto), "completed").otherwise(F.col("outcome"))
+    known = outcomes.withColumn("status", status)
+    return known.withColumn("started", F.coalesce(F.lag("status").over(order) == "failed", F.lit(True)))
 
 
-def progress(state: Column, stage: Column) -> Column:
-    """Percent for a task's state; `stage` counts from 0 while it is in progress."""
-    return F.when(state == "STARTED", 5).when(state == "SUCCESS", 100).when(state == "PROGRESS", 10 + stage * 25).otherwise(0)
+def progress(state: Column, stage: Column, going_on: Column) -> Column:
+    """Percent for a task's state; `stage` names the stage while it is in progress, `going_on` tells its second half."""
+    at = reduce(lambda c, x: c.when(stage == x[0], F.when(going_on, x[1][1]).otherwise(x[1][0])), STAGES.items(), F.when(F.lit(False), 0))
+    return F.when(state == "STARTED", 5).when(state == "SUCCESS", 100).when(state == "PROGRESS", F.coalesce(at, F.lit(0))).otherwise(0)
 
 
 STATUS = "status string, attempts long"
@@ -70,6 +76,48 @@ def failure_message(error: Column) -> Column:
     return F.substring(error, 1, 2000)
 
 
+RUN = "key string, attempt int, status string, stage string, progress int, error string, wait int"
+
+
+def staged(tasks: DataFrame, stages: dict[str, Callable[[str], str]]) -> DataFrame:
+    """(key, attempt from 0, payload) -> how each task ended. Its payload goes through the stages in their order; a stage that raises
+    ends it as `failed`, with the error and the wait before its next try (null after the last)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, attempt, payload in zip(pdf["key"], pdf["attempt"], pdf["payload"], strict=True):
+                end = (key, attempt, "completed", list(stages)[-1], 100, None, None)
+                for name, work in stages.items():
+                    try:
+                        payload = work(payload)
+                    except Exception as e:  # whatever a stage raises becomes a row
+                        wait = RETRY_WAITS[attempt] if attempt < len(RETRY_WAITS) else None
+                        end = (key, attempt, "failed", name, 0, str(e), wait)
+                        break
+                out.append(end)
+            made = pd.DataFrame(out, columns=["key", "attempt", "status", "stage", "progress", "error", "wait"])
+            yield made.astype({"wait": "Int32"})
+
+    ended = tasks.select("key", F.col("attempt").cast("int").alias("attempt"), "payload").mapInPandas(run, RUN)
+    return ended.withColumn("error", failure_message(F.col("error")))
+
+
+def stage_sink(path: str, stages: dict[str, Callable[[str], str]]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: runs the stages of a micro-batch's tasks and writes how they ended, once for each batch however often it is run."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        staged(batch, stages).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return sink
+
+
+def retries(ended: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The tasks that may be tried again, with their next attempt."""
+    again = ended.where("status = 'failed' AND wait IS NOT NULL").select("key", (F.col("attempt") + 1).alias("next"))
+    return tasks.join(again, "key").select("key", F.col("next").alias("attempt"), "payload")
+
+
 def tumbling(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     w = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
