@@ -1,4 +1,7 @@
-"""The corpus pipeline: documents in, encoded documents out. Each stage is written and read again before the next."""
+"""The corpus pipeline: documents in, encoded documents out. Each stage is written and read again before the next.
+
+Stages keep clean documents with all their columns, whatever the names; texts of any length are handled whole; an empty
+table stays empty. What each does with nulls, ties and repeated rows is said with it."""
 
 from __future__ import annotations
 
@@ -16,13 +19,14 @@ WIDTH = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told."""
+    """Keeps documents whose language can be told. Null texts and texts without letters go; repeated rows share one fate."""
     small_batches(spark)
     return langid.keep_known(docs, langid.train(docs, learned_from()))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later occurrences of repeated three-line windows; n_chars follows the text."""
+    """Removes later occurrences of repeated three-line windows; n_chars follows the text. All documents stay: a null text stays
+    null, a text of repeated lines only becomes empty, rows that repeat both id and text share one fate."""
     small_batches(spark)
     found = linededup.dedup_lines(docs)
     changed = ~F.col("kept").eqNullSafe(F.col("row.text"))
@@ -31,19 +35,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the least id."""
+    """Keeps one document of each group of near copies: the one with the least id (null ids last, then the least text hash). Texts
+    without words are one group, null texts among them; one of equal rows stays."""
     small_batches(spark)
     return simhash.one_of_each(docs, WIDTH)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark. Null and empty texts hold none and stay."""
     small_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left; the decoded text is checked by its digest."""
+    """Encodes what is left; the decoded text is checked by its digest. Null text counts as empty; repeated rows each get a row."""
     small_batches(spark)
     coded = bpe.encode_decode(docs, tokenizer_path())
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -63,8 +68,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.write(docs, name)
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
