@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import Row
 
 from vellum.llm import decontaminate as D
@@ -50,7 +51,9 @@ def test_matches_brute_force(spark, monkeypatch):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("few", [46, 0, 10**9])
+def test_index_finds_all_within_the_radius(monkeypatch, few):
+    monkeypatch.setattr(D, "FEW", few)
     rng = random.Random(2)
     items = D.Items([(i, " ".join(f"w{rng.randrange(50)}" for _ in range(30))) for i in range(300)])
     for _ in range(100):
@@ -63,7 +66,12 @@ def test_index_finds_all_within_the_radius():
 def test_edges(spark):
     docs = spark.createDataFrame([Row(doc_id=None, text=None), Row(doc_id=None, text="a b c d e f g"), Row(doc_id=1, text=""), Row(doc_id=2, text="a b c d e f g"), Row(doc_id=2, text="a b c d e f g")], "doc_id bigint, text string")
     bench = spark.createDataFrame([Row(item_id=1, text="A b, c d e f g"), Row(item_id=2, text=None), Row(item_id=3, text="a b"), Row(item_id=None, text="a b c d e f g")], "item_id bigint, text string")
-    assert sorted((r.doc_id or 0, r.item_id, r.similarity) for r in D.contaminated(docs, bench).collect()) == [(0, 1, 1.0), (2, 1, 1.0), (2, 1, 1.0)]
+    assert sorted((r.doc_id or 0, r.item_id or 0, r.similarity) for r in D.contaminated(docs, bench).collect()) == [(0, 0, 1.0), (0, 1, 1.0), (2, 0, 1.0), (2, 0, 1.0), (2, 1, 1.0), (2, 1, 1.0)]
+    only = bench.where("item_id IS NULL")
+    assert D.keep_clean(docs, only).count() == 2 and {r.item_id for r in D.contaminated(docs, only).collect()} == {None}
+    same = docs.withColumnRenamed("doc_id", "id"), bench.withColumnRenamed("item_id", "id")
+    assert D.contaminated(*same, id_col="id", item_col="id").columns[:2] == ["id", "item"]
+    assert D.contaminated(docs.withColumnRenamed("doc_id", "distance"), bench, id_col="distance").columns[:2] == ["id", "item_id"]
     assert D.keep_clean(docs, bench).count() == 2
     assert D.contaminated(docs, bench.limit(0)).count() == 0 and D.keep_clean(docs, bench.limit(0)).count() == 5
     assert D.contaminated(docs.limit(0), bench).count() == 0

@@ -147,4 +147,4 @@ def test_edges(spark):
     pages = spark.createDataFrame([Row(page_id=None, html=None, text=1), Row(page_id=1, html="", text=1), Row(page_id=1, html="<p>x", text=1)], "page_id bigint, html string, text int")
     assert sorted((r.page_id or 0, r.text) for r in html.extract(pages).collect()) == [(0, ""), (1, ""), (1, "x")]
     assert html.extract(pages.limit(0)).count() == 0
-    assert html.extract(pages, "text").columns == ["page", "text"]
+    assert html.extract(pages, "text").columns == ["id", "text"]

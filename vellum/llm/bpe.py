@@ -6,8 +6,9 @@ if it is compatible with the one before it, that is if no merge would cross thei
 shorter token is tried, and a position from which nothing works is marked and left for good; so each position
 is tried a bounded number of times. Decoding gathers bytes from one blob through token offsets.
 
-Null text counts as empty (no tokens). Repeated rows and null ids are encoded row by row. The result has the id
-and the operator's own columns only, so extra input columns can't clash.
+Null text counts as empty (no tokens). Repeated rows and null ids are encoded row by row, an empty table gives no rows. A very
+long text is a slice of its own, encoded whole, and decoded in steps. The result has the id and the operator's own
+columns only, so extra input columns can't clash; an id column named like one of them comes out as `id`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices
+from .common import own_name, quoted, slices
 
 #: Fixed value: the public pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -223,6 +224,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     with open(tokenizer, "rb") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
+    named = own_name(id_col, ("ids", "n_tokens", "decoded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(source.value)
@@ -231,7 +233,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(bpe.decode, ids)), pa.string())],
-                    names=[id_col, "ids", "n_tokens", "decoded"],
+                    names=[named, "ids", "n_tokens", "decoded"],
                 )
 
-    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, f"{quoted(id_col)} {kind}, ids binary, n_tokens bigint, decoded string")
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, f"{quoted(named)} {kind}, ids binary, n_tokens bigint, decoded string")

@@ -6,8 +6,11 @@ multi-index over the items' fingerprints (seven blocks, balls of radius two in e
 size within 20 bits, and the weighted Jaccard similarity of the two shingle multisets decides: 0.8 or more.
 
 Words are runs of letters, digits and underscores, lower case. Null or empty texts and items match nothing; nor
-do items of fewer than five words, which have no shingle. A document shorter than an item is one window. Repeated
-rows each get their rows. Items come in blocks of a fixed number, each sent to the executors in turn.
+do items of fewer than five words, which have no shingle. Items with a null id count like others. A document shorter than
+an item is one window; a very long one is a slice of its own and scanned whole. Of windows alike, the first counts.
+Repeated rows each get their rows; an empty table, or no items, gives none (and keeps all). Items come in blocks of a
+fixed number, each sent to the executors in turn. Only the two ids and own columns come out; a document's id column that
+is named like one of those comes out as `id`, an item's as `item`. The filter keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import quoted, slices
+from .common import own_name, quoted, slices
 
 WIDTH = 5
 SIMILAR = 0.8
 RADIUS = 20
 BLOCKS = 7
+#: A block's table with no more entries than a ball has values is looked through instead; both find the same.
+FEW = 46
 #: Items that are sent to the executors at once.
 ITEMS = 20_000
 _words = re.compile(r"\w+").findall
@@ -99,7 +105,7 @@ class Items:
         seen: set[int] = set()
         for table, (lo, hi) in zip(self.index.get(n, ()), block_bounds(), strict=False):
             value = fp >> lo & (1 << hi - lo) - 1
-            if len(table) <= 46:  # fewer entries than the ball has values
+            if len(table) <= FEW:
                 for v, items in table.items():
                     if (v ^ value).bit_count() <= self.within:
                         seen.update(items)
@@ -163,15 +169,19 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
     rows = items.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).where(F.col("text").isNotNull())
     parts = -(-rows.count() // ITEMS)
     for k in range(parts):
-        yield sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect() if r[0] is not None)
+        yield sorted(map(tuple, rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc id, item id, first_word, n_words, similarity, distance: each pair's best window."""
     spark = docs.sparkSession
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
-    schema = f"{quoted(id_col)} {kinds[0]}, {quoted(item_col)} {kinds[1]}, first_word bigint, n_words bigint, similarity double, distance int"
+    mine = ("first_word", "n_words", "similarity", "distance")
+    named = own_name(id_col, mine)
+    item = "item" if item_col.lower() in (named.lower(), *mine) else item_col
+    schema = f"{quoted(named)} {kinds[0]}, {quoted(item)} {kinds[1]}, first_word bigint, n_words bigint, similarity double, distance int"
     out = None
+    id_kind = to_arrow_type(items.schema[item_col].dataType)
     for rows in _blocks(items, item_col, item_text):
         sent = spark.sparkContext.broadcast(Items(rows))
         if not sent.value.ids:
@@ -183,7 +193,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     found = [(i, m) for i, t in enumerate(part.column(1).to_pylist()) if t for m in sent.value.matches(t)]
                     if found:
                         cols = list(zip(*(m for _, m in found), strict=True))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in found])), pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32())], names=[id_col, item_col, "first_word", "n_words", "similarity", "distance"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in found])), pa.array(cols[0], id_kind), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32())], names=[named, item, "first_word", "n_words", "similarity", "distance"])
 
         part = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)

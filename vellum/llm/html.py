@@ -12,7 +12,7 @@ Tokenizer, builder and renderer take time in proportion to the page, malformed o
 be of any depth; layout follows it to a limit only (LEVELS of indents, TABLES within tables, WIDEST cell), text beyond it stays.
 A `<` that begins no tag that ends is text. Null or empty pages give empty text, a very long page is one slice. Repeated rows
 and null ids are rendered row by row. An empty table gives no rows. Only id and `text` come out (an id column named
-`text` comes out as `page`).
+`text` comes out as `id`).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices
+from .common import own_name, quoted, slices
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -522,7 +522,7 @@ def to_text(source: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, text."""
     kind = pages.schema[id_col].dataType.simpleString()
-    out = "page" if id_col.lower() == "text" else id_col
+    out = own_name(id_col, ["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,10 +3,12 @@
 Each language has a distribution over letter trigrams (UTF-8 bytes of the lower-cased words with single spaces
 between, hashed to 16 bits). A document's language shares are the mixture weights that expectation-maximisation
 finds for its trigram counts. Sets of languages, nested by share, are compared by log-likelihood less a penalty
-for each language; the best set's shares are the result.
+for each language; the best set's shares are the result. Each fit ends when no share moves by 0.002, or after 25 rounds at
+most; sets of two or more are tried only where the fit with all languages beats the best single one by a penalty.
 
 Null text, and text without letters, is `und` with score 0 and no shares; so is everything if no labelled row
-could be learned from. Null ids are never learned from. Texts are used whole. Only id and own columns come out.
+could be learned from. Null ids are never learned from. Texts are used whole, very long ones in steps; repeated rows are
+judged row by row, an empty table gives no rows. Only id and own columns come out (an id named like one of them as `id`).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices
+from .common import own_name, quoted, slices
 
 BITS = 16
 #: The documented bound of the labelled sample that the model is fitted on: rows, chosen by a hash of the id.
@@ -175,7 +177,7 @@ def _decide(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, shares (languages of the chosen set with their proportions)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 256 KB a language
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, named = docs.schema[id_col].dataType.simpleString(), own_name(id_col, ("lang_pred", "score", "shares"))
     share = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +185,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             for part in slices(batch, 1):
                 lang, score, shares = _decide(sent.value, part.column(1).to_pylist())
                 rows = [[{"lang": a, "share": b} for a, b in x] for x in shares]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rows, share)], names=[id_col, "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rows, share)], names=[named, "lang_pred", "score", "shares"])
 
-    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, f"{quoted(id_col)} {kind}, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, f"{quoted(named)} {kind}, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

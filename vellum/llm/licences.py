@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices
+from .common import own_name, quoted, slices
 
 #: The documented bound of the corpus sample: paragraphs, from as many documents chosen by a hash.
 SAMPLE = 2_000
@@ -263,7 +263,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, licence, probability, similarity, line (from 0), families (array)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed vocabulary
     kind = docs.schema[id_col].dataType.simpleString()
-    named = "id" if id_col.lower() in ("licence", "probability", "similarity", "line", "families") else id_col
+    named = own_name(id_col, ("licence", "probability", "similarity", "line", "families"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

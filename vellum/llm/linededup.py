@@ -4,7 +4,8 @@ Three consecutive lines are one window, known by 128 hash bits. A window's first
 last, then least text hash, then position) stays; the lines that later occurrences cover are removed, where
 overlapping windows merge. Windows of blank lines only don't count. A text of fewer than three lines has no
 window and stays as it is, null stays null, and a text whose lines all go becomes empty. Rows that repeat both id
-and text are one document and share one fate; rows that share only the id are different documents.
+and text are one document and share one fate; rows that share only the id are different documents. Very long texts go whole
+through one array of windows; an empty table gives no rows. Columns come out within `row`, so their names can't clash.
 """
 
 from __future__ import annotations

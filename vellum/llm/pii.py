@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import own_name, quoted
 
 ROUNDS = 10
 # The formats.
@@ -262,4 +262,4 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     whole = named.select("id", F.when(F.col("named").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("t")).alias("text"), used.alias("used"))
     count = lambda kind: F.size(F.filter("used", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
-    return whole.select(F.col("id").alias("id" if id_col.lower() in ("text", "n_replaced", *(f"n_{k}" for k in KINDS)) else id_col), "text", F.size("used").cast("long").alias("n_replaced"), *counts)
+    return whole.select(F.col("id").alias(own_name(id_col, ("text", "n_replaced", *(f"n_{k}" for k in KINDS)))), "text", F.size("used").cast("long").alias("n_replaced"), *counts)

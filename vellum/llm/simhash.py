@@ -10,7 +10,9 @@ Texts that are alike by 0.8 or more may lie further apart than such balls reach.
 fingerprints of sketches.py find and the sets of shingles confirm are added to those of the multi-index.
 
 Null text counts as empty; documents without words have fingerprint zero and are linked like any other. Repeated
-rows are linked to each other. A component's id is its least non-null document id (null if it has none).
+rows are linked to each other. A component's id is its least non-null document id (null if it has none). Very long texts are
+hashed whole, in steps; an empty table gives no rows. Only id, fp and component come out (an id named like one of those as
+`id`); the filter `one_of_each` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketches
-from .common import Scratch, quoted, slices
+from .common import Scratch, own_name, quoted, slices
 from .components import components
 
 SEED = 42
@@ -171,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_co
     roots = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = scratch.write(roots.groupBy("root").agg(F.min("least").alias("component")), "least")
     classes = scratch.write(roots.join(least, "root").select("fp", "component"), "classes")
-    return fps.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return fps.join(classes.hint("merge"), "fp").select(F.col("id").alias(own_name(id_col, ("fp", "component"))), "fp", "component")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", alike: bool = True) -> DataFrame:
