@@ -40,11 +40,11 @@ def test_repeated_matches_brute_force():
     assert suffix.repeated(data, starts, 60).tolist() == want
 
 
-@pytest.mark.parametrize(("crowd", "step"), [(20_000, 60_000), (1, 90)])
-def test_operator_matches_brute_force(spark, monkeypatch, crowd, step):
-    monkeypatch.setattr(suffix, "CLASS", crowd)
+@pytest.mark.parametrize(("block", "step", "parts"), [(5000, 60_000, (40, 5, 1)), (100, 90, (40, 5, 1)), (100, 60_000, (7, 1)), (100, 60_000, (1,))])
+def test_operator_matches_brute_force(spark, monkeypatch, block, step, parts):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
     monkeypatch.setattr(suffix, "STEP", step)
-    monkeypatch.setattr(suffix, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(suffix, "PARTS", parts)
     texts = corpus(random.Random(4))
     docs = spark.createDataFrame([Row(doc_id=i, text=t.decode(), spans=1, m="x") for i, t in enumerate(texts)] + [Row(doc_id=None, text=None, spans=None, m=None)])
     got = docs.select("doc_id", *suffix.text_hashes("text")).join(suffix.remove_repeats(docs, length=60, gram=20), ["t1", "t2"]).collect()
@@ -65,7 +65,9 @@ def test_query_on_real_rows(spark, data):
 
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     want = dict(zip([r.doc_id for r in rows], brute([r.text.encode() for r in rows], 200)))
-    for r in op7_suffix_array_dedup(spark, data).collect():
+    got = op7_suffix_array_dedup(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    for r in got:
         n, removed, spans, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
 
@@ -76,5 +78,23 @@ def test_texts_beyond_one_step(spark):
     texts = [long, long[:61_000] + "#" + long[61_000:], "x" + long[70_000:70_250]]
     docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)])
     want = brute([t.encode() for t in texts], 200)
-    for r in docs.select("doc_id", *suffix.text_hashes("text")).join(suffix.remove_repeats(docs), ["t1", "t2"]).collect():
+    got = docs.select("doc_id", *suffix.text_hashes("text")).join(suffix.remove_repeats(docs), ["t1", "t2"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
         assert (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) == want[r.doc_id]
+
+
+def test_one_crowded_bucket_is_split(spark, monkeypatch):
+    """One passage with other words around it in every text: all its suffixes share few minimizers."""
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 3000)
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(190)
+    texts = [say(rng.randint(0, 150)) + passage + say(rng.randint(0, 150)) for _ in range(60)]
+    texts += [texts[0][:100] + passage + texts[0][290:], "x" + passage + "y" * 30, "z" + passage + "y" * 30, passage + passage]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)])
+    want = brute([t.encode() for t in texts], 200)
+    got = docs.select("doc_id", *suffix.text_hashes("text")).join(suffix.remove_repeats(docs), ["t1", "t2"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) == want[r.doc_id], r.doc_id

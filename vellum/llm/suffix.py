@@ -8,9 +8,14 @@ suffixes at positions of a difference cover modulo 7 are ranked to depth 194 by
 step to step. For any two suffixes some shift below 7 takes both to the cover, so the six bytes outside the ranked
 part and the ranks there decide whether they are equal to depth 200.
 
+A bucket larger than a block is split, at any size the same way: its suffixes are parted by their distance from the
+minimizer, 40 distances at a time, and bucketed anew by all the bytes that the suffixes of one part have in common (161 of
+200). Equal suffixes still meet. What is larger than a block even then is parted by 5 distances and, at last, by
+single ones, where a bucket's suffixes are equal.
+
 Null text counts as empty. Equal texts are one text with a count: results depend on the text alone, so repeated rows
-and rows that share an id need no further rule. Matches never cross documents. Texts below 200 bytes stay whole.
-A class of contexts beyond a fixed size goes by single positions, counted with map-side combining, instead.
+and rows that share an id need no further rule. Matches never cross documents. Texts below 200 bytes stay whole, very long
+ones are read in steps. An empty table gives no rows. Own columns of `docs` play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +35,8 @@ from .common import Scratch, quoted, slices
 LENGTH, GRAM = 200, 40
 #: Context bytes that one block should hold.
 BLOCK_BYTES = 4 << 20
-#: Contexts of one key beyond which its positions are counted one by one.
-CLASS = 20_000
+#: Distances from the minimizer that stay together when a bucket beyond BLOCK_BYTES is split, time after time.
+PARTS = (40, 5, 1)
 #: Starts of one text that are looked at together; below 2^16, as offsets share a word with hashes.
 STEP = 60_000
 V, COVER = 7, (1, 2, 4)
@@ -184,8 +190,12 @@ def _find_runs(length: int, gram: int):
     return run
 
 
-def _contexts(length: int, hot: bool):
-    """Rows of contexts, or of single positions' hashes, from texts (t1, t2, text, runs)."""
+def _columns(runs: pa.ListScalar, *names: str) -> list[list[int]]:
+    return [_flat(pc.struct_field(runs.values, n)).to_pylist() for n in names]
+
+
+def _contexts(length: int):
+    """Rows of contexts from texts (t1, t2, text, runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,20 +203,38 @@ def _contexts(length: int, hot: bool):
                 t1, t2 = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows: list[tuple] = []
                 for k, (d, runs) in enumerate(zip(_bytes(part.column(2)), part.column(3), strict=True)):
-                    lo, hi, key = (_flat(pc.struct_field(runs.values, n)).to_pylist() for n in ("lo", "hi", "key"))
-                    if not hot:
-                        rows += [(key[j], t1[k], t2[k], lo[j], d[lo[j] : hi[j] + length].tobytes()) for j in range(len(lo))]
-                        continue
-                    for a, b in zip(lo, hi, strict=True):
-                        piece = d[a : b + length]
-                        for base in range(0, len(piece) - length + 1, STEP):
-                            two = [_sums(piece[base : base + STEP + length - 1], lane) for lane in (0, 1)]
-                            h = [_mix((s[length:] - s[:-length]) * _DOWN[: len(s) - length]).view(np.int64).tolist() for s in two]
-                            rows += [(x, y, t1[k], t2[k], a + base + i) for i, (x, y) in enumerate(zip(*h, strict=True))]
+                    rows += [(key, t1[k], t2[k], lo, d[lo : hi + length].tobytes()) for lo, hi, key in zip(*_columns(runs, "lo", "hi", "key"), strict=True)]
                 for j in range(0, len(rows), 20_000):
-                    cols = list(zip(*rows[j : j + 20_000], strict=True))
-                    kinds = [pa.int64()] * 5 if hot else [pa.int64()] * 4 + [pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h1", "h2", "t1", "t2", "pos"] if hot else ["key", "t1", "t2", "lo", "bytes"])
+                    cols = zip(*rows[j : j + 20_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["key", "t1", "t2", "lo", "bytes"])
+
+    return run
+
+
+def parted(d: np.ndarray, lo: int, hi: int, a: int, key: int, together: int, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """(first start, last start, key, the context's hash) of a context's parts: starts by their distance from the minimizer at `a`."""
+    out = []
+    for j in range((a - hi) // together, (a - lo) // together + 1):
+        first, last = max(lo, a - (j + 1) * together + 1), min(hi, a - j * together)
+        common = d[a - j * together : a - (j + 1) * together + 1 + length].tobytes()
+        own = xxhash.xxh64_intdigest(common, seed=j), xxhash.xxh64_intdigest(d[first : last + length].tobytes(), seed=(last - first) * 1000 + a - first)
+        out.append((first, last, *(np.array([own[0] ^ (key & (1 << 64) - 1), own[1]], dtype=np.uint64).view(np.int64).tolist())))
+    return out
+
+
+def _parts(length: int, together: int):
+    """Runs of the parts of contexts, from texts (t1, t2, text, runs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                t1, t2 = part.column(0).to_pylist(), part.column(1).to_pylist()
+                rows: list[tuple] = []
+                for k, (d, runs) in enumerate(zip(_bytes(part.column(2)), part.column(3), strict=True)):
+                    for lo, hi, a, key in zip(*_columns(runs, "lo", "hi", "a", "key"), strict=True):
+                        rows += [(t1[k], t2[k], 1, first, last, a, own, ctx) for first, last, own, ctx in parted(d, lo, hi, a, key, together, length)]
+                for j in range(0, len(rows), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[j : j + 20_000], strict=True)], names=["t1", "t2", "m", "lo", "hi", "a", "key", "ctx"])
 
     return run
 
@@ -259,6 +287,23 @@ def text_hashes(text_col: str) -> list:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text, F.length(text)).alias("t2")]
 
 
+def _settled(scratch: Scratch, runs: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What counting settles: spans that repeat as a whole; one of each kind of the contexts that have to be compared; keys of buckets beyond a block."""
+    keys = scratch.write(runs.groupBy("key").agg(F.sum("m").alias("n"), (F.min("ctx") != F.max("ctx")).alias("multi")).where("n > 1").select("key", "multi"), f"{name}-keys")
+    shared = scratch.write(runs.join(keys.hint("merge"), "key"), f"{name}-shared")
+    scratch.drop(name)
+    kinds = scratch.write(shared.where("multi").groupBy("key", "ctx").agg(F.sum("m").alias("n"), F.min(F.struct("t1", "t2", "lo", "hi", "a")).alias("one")), f"{name}-kinds")
+    # Kinds with over a thousandth of all contexts are a thousand at most: their contexts are found without an exchange.
+    often = max(1000, (kinds.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = F.broadcast(kinds.where(F.col("n") > often).select("key", "ctx"))
+    rare = kinds.where((F.col("n") > 1) & (F.col("n") <= often)).select("key", "ctx")
+    multi = shared.where("multi")
+    again = multi.join(hot, ["key", "ctx"], "left_semi").unionAll(multi.join(hot, ["key", "ctx"], "left_anti").join(rare.hint("merge"), ["key", "ctx"]))
+    whole = shared.where("not multi").select("t1", "t2", F.col("lo").alias("s"), F.col("hi").alias("e")).unionAll(again.select("t1", "t2", F.col("lo").alias("s"), F.col("hi").alias("e")))
+    crowded = scratch.write(kinds.groupBy("key").agg(F.sum(F.col("one.hi") - F.col("one.lo") + length).alias("size")).where(F.col("size") > BLOCK_BYTES).select("key"), f"{name}-crowded")
+    return whole, kinds, crowded
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """t1, t2 (text_hashes of the text), n_bytes, n_removed, spans (maximal removed runs), kept (bytes): one row for
     each different text. Rows of `docs` join it by text_hashes."""
@@ -272,27 +317,28 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     spark.sql(f"DROP TABLE {name}")  # the name only: its files are of the shared folder, and `texts` is resolved
 
     runs = scratch.write(texts.where(F.octet_length("text") >= length).select("t1", "t2", "m", "text").mapInArrow(_find_runs(length, gram), RUN), "runs")
-    keys = scratch.write(runs.groupBy("key").agg(F.sum("m").alias("n"), (F.min("ctx") != F.max("ctx")).alias("multi")).where("n > 1").select("key", "multi"), "keys")
-    shared = scratch.write(runs.join(keys.hint("merge"), "key"), "shared")
-    scratch.drop("runs")
-    kinds = scratch.write(shared.where("multi").groupBy("key", "ctx").agg(F.sum("m").alias("n"), F.min(F.struct("t1", "t2", "lo", "hi")).alias("one")), "kinds")
-    again = shared.where("multi").join(kinds.where("n > 1").select("key", "ctx").hint("merge"), ["key", "ctx"])
-    whole = shared.where("not multi").select("t1", "t2", F.col("lo").alias("s"), F.col("hi").alias("e")).unionAll(again.select("t1", "t2", F.col("lo").alias("s"), F.col("hi").alias("e")))
-
-    crowded = scratch.write(kinds.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CLASS).select("key"), "crowded")
-    compared = kinds.select("key", "one.*")
+    runs_of = lambda df: df.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", "a", "key")).alias("runs"))
+    with_text = lambda df: texts.select("t1", "t2", "text").join(runs_of(df), ["t1", "t2"]).select("t1", "t2", "text", "runs")
+    spans, compared = None, None
+    for together in (*PARTS, None):
+        whole, kinds, crowded = _settled(scratch, runs, length, "runs" if together == PARTS[0] else f"before-{together}")
+        spans = whole if spans is None else spans.unionAll(whole)
+        last = together is None or crowded.isEmpty()
+        plain = (kinds if last else kinds.join(crowded, "key", "left_anti")).select("key", "one.*")
+        compared = plain if compared is None else compared.unionAll(plain)
+        if last:
+            break
+        hot = kinds.join(crowded, "key", "left_semi").select("key", "one.*")
+        runs = scratch.write(with_text(hot).mapInArrow(_parts(length, together), RUN), f"parts-{together}")
     size = compared.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    runs_of = lambda df: df.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("runs"))
-    with_text = lambda df: texts.select("t1", "t2", "text").join(runs_of(df), ["t1", "t2"]).select("t1", "t2", "text", "runs")
-    plain = compared.join(crowded, "key", "left_anti")
-    contexts = with_text(plain).mapInArrow(_contexts(length, False), "key bigint, t1 bigint, t2 bigint, lo bigint, bytes binary")
+    contexts = with_text(compared).mapInArrow(_contexts(length), "key bigint, t1 bigint, t2 bigint, lo bigint, bytes binary")
     found = contexts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").applyInArrow(_sort_block(length), "t1 bigint, t2 bigint, s bigint, e bigint")
-    spans = whole.unionAll(found)
-    if not crowded.isEmpty():
-        at = scratch.write(with_text(compared.join(crowded, "key", "left_semi")).mapInArrow(_contexts(length, True), "h1 bigint, h2 bigint, t1 bigint, t2 bigint, pos bigint"), "positions")
-        twice = scratch.write(at.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
-        spans = spans.unionAll(at.join(twice.hint("merge"), ["h1", "h2"]).select("t1", "t2", F.col("pos").alias("s"), F.col("pos").alias("e")))
+    spans = spans.unionAll(found)
     spans = scratch.write(spans, "spans")
+    for together in (*PARTS, None):
+        for name in ("keys", "shared", "kinds", "crowded"):
+            scratch.drop(f"{'runs' if together == PARTS[0] else f'before-{together}'}-{name}")
+        scratch.drop(f"parts-{together}")
     by_text = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return texts.select("t1", "t2", "text").join(by_text, ["t1", "t2"], "left").select("t1", "t2", "text", "spans").mapInArrow(_cut(length), "t1 bigint, t2 bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
