@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHILD_MAX, CHILD_MIN = 512, 90
+# Fixed value: where sentences part.
 SENTENCE = r"""(?<=[.!?])\s+(?=[A-Z"'\(])|(?<=\n)(?=\S)"""
 
 
@@ -182,15 +184,24 @@ def is_duplicate_child(parent: Column, child: Column) -> Column:
     return (a == "") | (b == "") | (a == b) | (F.contains(a, b) & (F.length(b) >= F.length(a) * 0.95))
 
 
+# Markup and prefixes that don't count when texts are compared for coverage.
+MARKUP = ((r"\*\*(.+?)\*\*", "$1"), (r"_(.+?)_", "$1"), (r"\*(.+?)\*", "$1"), (r"^#{1,6}\s+", ""), (r"`([^`]+)`", "$1"), (r"\|[-:| ]+\|", ""), (r"\|", " "), (r"\s+", " "))
+PREFIXES = (r"^\[section:\s*[^\]]*\]\s*", r"^\[clause:\s*[^\]]*\]\s*", r"^\[table[^\]]*\]\s*", r"^\[figure[^\]]*\]\s*", r"^from\s+'[^']+'\s+\([^)]+\),\s+section\s+'[^']+',\s+page\s+\d+\.\s*", r"^this is a [^.]+\.\s*", r"\[[\d,\x{2217}\x{2020}]+\]")
+
+
 def coverage_form(c: Column) -> Column:
     """Text as compared for coverage: no markup, no chunk prefixes, single spaces, lower case."""
-    # Markup, then prefixes.
-    markup = ((r"\*\*(.+?)\*\*", "$1"), (r"_(.+?)_", "$1"), (r"\*(.+?)\*", "$1"), (r"^#{1,6}\s+", ""), (r"`([^`]+)`", "$1"), (r"\|[-:| ]+\|", ""), (r"\|", " "), (r"\s+", " "))
-    prefixes = (r"^\[section:\s*[^\]]*\]\s*", r"^\[clause:\s*[^\]]*\]\s*", r"^\[table[^\]]*\]\s*", r"^\[figure[^\]]*\]\s*", r"^from\s+'[^']+'\s+\([^)]+\),\s+section\s+'[^']+',\s+page\s+\d+\.\s*", r"^this is a [^.]+\.\s*", r"\[[\d,∗†]+\]")
-    plain = F.lower(strip(reduce(lambda x, m: F.regexp_replace(x, m[0], m[1]), markup, F.coalesce(c, F.lit("")))))
-    return reduce(lambda x, p: F.regexp_replace(x, p, ""), prefixes, plain)
+    plain = F.lower(strip(reduce(lambda x, m: F.regexp_replace(x, *m), MARKUP, F.coalesce(c, F.lit("")))))
+    return reduce(lambda x, p: F.regexp_replace(x, p, ""), PREFIXES, plain)
+
 
+def covered_lines(lines: Column, chunks: Column) -> Column:
+    """How many of a page's lines are in one of its chunks, whole or, beyond 15 characters, by their first 40; very short ones count."""
+    held, form = F.transform(chunks, coverage_form), F.transform(lines, coverage_form)
+    return F.size(F.filter(form, lambda t: (F.length(t) < 3) | F.exists(held, lambda c: F.contains(c, t) | ((F.length(t) > 15) & F.contains(c, F.substring(t, 1, 40))))))
 
+
+# Patterns of list items, subsections and front matter; titles that are skipped.
 LIST_ITEM = r"^\s*(?:\d+[.):]\s|[-•*]\s|[a-z][.)]\s|\([a-z]\)\s)"
 SUBSECTION = r"^(?:\d+\.\d+[\.\d]*\.?\s|[A-Z]\.\d+\.?\s|Appendix\s+[A-Z])"
 FRONT_MATTER = r"(?i)@[\w.-]+\.\w{2,}|university\s+of\b|\binstitut\w*\b|\bdepartment\s+of\b|\bcollege\s+of\b"
@@ -218,7 +229,7 @@ def is_heading_stub(c: Column) -> Column:
 NUMBERED = r"^(?:\d+\.\s|\d+\.\d+[\.\d]*\.?\s|[A-Z]\.\s|[A-Z]\.\d+[\.\d]*\.?\s|Appendix\s+[A-Z])"
 MAJOR = ("abstract", "introduction", "conclusion", "conclusions", "references", "bibliography", "acknowledgments", "acknowledgements", "related work", "methodology", "methods", "results", "discussion", "appendix", "supplementary material")
 NOISE = r"^https?://|^[{<\[]|@[\w.-]+\.\w{2,}|^[\d\s.,]+$|^\d+[A-Z]"
-SYMBOLS = r"[̀-ͯ -⯿\x{1d400}-\x{1d7ff}]"
+SYMBOLS = r"[\x{300}-\x{36f}\x{2000}-\x{2bff}\x{1d400}-\x{1d7ff}]"
 
 
 def element_level(category: Column, text: Column) -> Column:
@@ -236,14 +247,53 @@ def plain_markdown(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\*\*(.+?)\*\*", "$1"), r"_(.+?)_", "$1"), r"\*(.+?)\*", "$1"))
 
 
-def highlighted(text: Column, query: str) -> Column:
-    """Words of the query, longer than two letters, marked in the text."""
-    import re
+# Words that aren't marked.
+UNMARKED = frozenset("what the are how does where when which who can for with from this that about tell find show".split())
 
-    found = sorted({w for w in re.findall(r"\w+", query.lower()) if len(w) > 2}, key=lambda w: (-len(w), w))
+
+def highlighted(text: Column, query: str) -> Column:
+    """Words of the query, longer than two letters and none of the stop list, marked in the text."""
+    found = sorted({w for w in query.lower().split() if len(w) > 2} - UNMARKED, key=lambda w: (-len(w), w))
     return F.regexp_replace(text, "(?i)(" + "|".join(map(re.escape, found)) + ")", "<mark>$1</mark>") if found else text
 
 
+# Words that no phrase is looked up by.
+UNSOUGHT = UNMARKED | frozenset("being used also more into been have has was were will would could should than they their these those some such only very just but and not all any each every its".split())
+
+
+def highlight_terms(query: str, match: Column, phrases: int = 3) -> Column:
+    """Phrases of four words of the matched text that hold a word of the query, three at most, none overlapping; else four of its words."""
+    sought = [w for w in query.lower().split() if len(w) > 2 and w not in UNSOUGHT]
+    plain = F.regexp_replace(match, r"\[(?:Section|Clause):.*?\]\s*", "")
+    words = F.split(plain, r"\s+", -1)
+    clean = lambda i: F.trim(F.regexp_replace(F.array_join(F.slice(words, i + 1, F.lit(4)), " "), r"[^a-zA-Z0-9\s-]", ""))
+    fits = lambda p: (F.length(p) > 10) & (F.length(p) < 60) & F.exists(F.array(*map(F.lit, sought or ["\0"])), lambda w: F.contains(F.lower(p), w))
+
+    def step(s: Column, i: Column) -> Column:
+        taken = F.struct(F.concat(s["out"], F.array(clean(i))).alias("out"), (i + 4).alias("next"))
+        return F.when((i < s["next"]) | (F.size(s["out"]) >= phrases), s).when(fits(clean(i)), taken).otherwise(s)
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
+    places = F.when(F.size(words) > 2, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
+    found = F.aggregate(places, start, step, lambda s: s["out"])
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, sought[:4])).cast("array<string>"))
+
+
+# Patterns of facts, with what their groups make.
+FACTS = (
+    ("Payment Terms", r"(?i)(?:net|payment)\s*(?:terms?:?\s*)?(\d+)\s*days?", "Net ", " days"),
+    ("Interest/Fee", r"(?i)(\d+(?:\.\d+)?\s*%\s*(?:monthly|annual|per))\s*(?:interest|fee)", "", ""),
+    ("Amount", r"(\$[\d,]+(?:\.\d{2})?)", "", ""),
+    ("Effective Date", r"(?i)effective\s+(\w+\s+\d{1,2},?\s+\d{4})", "", ""),
+)
+
+
+def facts(text: Column) -> Column:
+    """array<struct<label, value>>: what the patterns find, by pattern and then by place; no model is asked."""
+    one = lambda label, pattern, before, after: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda v: F.struct(F.lit(label).alias("label"), F.concat(F.lit(before), v, F.lit(after)).alias("value")))
+    return F.concat(*[one(*f) for f in FACTS])
+
+
 def column_index(letters: Column) -> Column:
     """A is 0, AA is 26."""
     return F.aggregate(F.filter(F.split(F.upper(letters), ""), lambda x: x != ""), F.lit(0), lambda a, x: a * 26 + F.ascii(x) - 64) - 1
@@ -261,6 +311,7 @@ def sql_identifier(c: Column, prefix: str = "c_", default: str = "col") -> Colum
     return F.when(s.rlike("^[0-9]"), F.concat(F.lit(prefix), s)).otherwise(s)
 
 
+# Words that name no table.
 RESERVED = ("table", "index", "select", "order", "group", "where", "from")
 
 

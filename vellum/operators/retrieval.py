@@ -257,3 +257,20 @@ def highlight_boxes(passages: Column) -> Column:
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("total"), F.count_if(F.col("chunk_type") == "parent").alias("parents"), F.count_if(F.col("chunk_type") == "child").alias("children"), F.countDistinct("document_key").alias("documents"))
+
+
+def chunks_by_id(chunks: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """The chunks that a list of ids, which is a table, names; an id named twice gives its chunk once."""
+    return chunks.join(ids.select(*keys), keys, "left_semi")
+
+
+def parents_of(parents: DataFrame, documents: DataFrame, id_col: str) -> DataFrame:
+    """The parents of the listed documents (document_key), with their place by page, line and id."""
+    order = Window.partitionBy("document_key").orderBy("page_number", "start_line", id_col)
+    return parents.join(documents.select("document_key"), "document_key", "left_semi").withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def in_first_seen_order(rows: DataFrame, query: str, group: str, rank: str, item: str) -> DataFrame:
+    """Ranked rows by group: items by rank, and the group's place by its first item's rank."""
+    g = rows.groupBy(query, group).agg(F.min(rank).alias("seen"), F.transform(F.array_sort(F.collect_list(F.struct(rank, item))), lambda x: x[item]).alias("items"))
+    return g.withColumn("place", F.dense_rank().over(Window.partitionBy(query).orderBy("seen")).cast("long")).drop("seen")

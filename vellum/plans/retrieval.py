@@ -224,21 +224,6 @@ def chunk_quality(spark, sf_dir):
     return _ratios(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("children"), dup.alias("duplicates"), F.when((dup <= 1) & (F.count("*") <= 20), "PASS").otherwise("FAIL").alias("verdict"))
 
 
-@query(
-    f"""WITH c AS (SELECT doc_id, list({_collapse('lower(chunk)')}) AS v FROM ({S_CHUNKS}) GROUP BY doc_id), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT l.doc_id, {_collapse('lower(line)')} AS t, coalesce(c.v, []) AS v FROM l LEFT JOIN c USING (doc_id)),
-    m AS (SELECT doc_id, length(t) < 3 OR len(list_filter(v, lambda x: contains(x, t) OR (length(t) > 15 AND contains(x, substr(t, 1, 40))))) > 0 AS hit FROM n)
-    SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (hit)::BIGINT AS covered, round(100.0 * count(*) FILTER (hit) / count(*), 4) AS percent, CASE WHEN 100.0 * count(*) FILTER (hit) / count(*) >= 95 THEN 'good' WHEN 100.0 * count(*) FILTER (hit) / count(*) >= 50 THEN 'fair' ELSE 'poor' END AS band FROM m GROUP BY doc_id"""
-)
-def line_coverage(spark, sf_dir):
-    chunks = chunk_rows(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(T.collapse(F.lower("chunk"))).alias("v"))
-    lines = docs(spark, sf_dir).select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: T.collapse(F.lower(x))).alias("l"))
-    j = lines.join(chunks, "doc_id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<string>")))
-    hit = F.filter("l", lambda t: (F.length(t) < 3) | F.exists("v", lambda c: F.contains(c, t) | ((F.length(t) > 15) & F.contains(c, F.substring(t, 1, 40)))))
-    n = j.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(hit).cast("long").alias("covered"))
-    p = F.col("covered") * 100.0 / F.col("n_lines")
-    return n.select("doc_id", "n_lines", "covered", F.round(p, 4).alias("percent"), F.when(p >= 95, "good").when(p >= 50, "fair").otherwise("poor").alias("band"))
-
-
 @query(f"SELECT d.source, count(*)::BIGINT AS chunks, count(*) FILTER (c.pos = 1)::BIGINT AS firsts, min(c.doc_id) AS least, max(c.pos)::BIGINT AS most, count(DISTINCT c.doc_id)::BIGINT AS documents FROM ({S_CHUNKS}) c JOIN documents d USING (doc_id) GROUP BY d.source")
 def chunk_inventory(spark, sf_dir):
     j = chunk_rows(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")

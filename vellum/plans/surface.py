@@ -57,6 +57,8 @@ surface("pagination", "part", "SELECT p_partkey, p_name FROM part ORDER BY p_par
 surface("cte", "orders", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), ranked AS (SELECT o_custkey, total, dense_rank() OVER (ORDER BY total DESC) AS r FROM big) SELECT o_custkey, round(total, 2) AS total, r FROM ranked WHERE r <= 20")
 surface("strings", "part", "SELECT p_partkey, upper(substr(p_name, 1, 5)) AS head, length(p_name) AS n, replace(p_type, ' ', '_') AS kind, p_name LIKE '%a%' AS has_a, concat(p_brand, '/', trim(p_type)) AS label, coalesce(nullif(p_brand, 'Brand#11'), 'none') AS brand FROM part")
 surface("dates", "orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('month', o_orderdate) AS month_start, CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS later FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('month', o_orderdate)::TIMESTAMP AS month_start, (CAST(o_orderdate AS DATE) + INTERVAL 10 DAY)::TIMESTAMP AS later FROM orders")
+surface("lateral", "nation customer", "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 0) t")
+surface("percentiles", "orders", "SELECT o_orderstatus, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY CAST(o_totalprice AS DOUBLE)), 4) AS q1, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(o_totalprice AS DOUBLE)), 4) AS median FROM orders GROUP BY o_orderstatus")
 QUERIES["sql_surface_dates"] = lambda spark, d: catalog(spark, d, ["orders"]).run("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('month', o_orderdate) AS month_start, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS TIMESTAMP) AS later FROM orders")
 surface("json", "events", "SELECT event_id, get_json_object(props, '$.k') AS k, get_json_object(props, '$.page') AS page FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS page FROM events")
 surface("case_cast", "lineitem", "SELECT l_returnflag, CASE WHEN l_discount = 0 THEN 'full' WHEN l_discount < 0.05 THEN 'some' ELSE 'much' END AS cut, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS mean FROM lineitem GROUP BY 1, 2")
