@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable
 
 from py4j.java_gateway import is_instance_of
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.sinks import latest
 
 # Verbs that change something.
 UNSAFE = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "REPLACE", "MERGE", "GRANT", "REVOKE", "EXEC", "EXECUTE", "ATTACH", "DETACH")
@@ -123,6 +126,24 @@ class Catalog:
     def tables(self, document_key: str | None = None) -> set[str]:
         return {t for d, e in self.entries.items() if document_key in (None, d) for t in e}
 
+    def save(self, path: str, document_key: str, document_name: str) -> None:
+        """Writes a document's tables and its entry in the registry; the latest entry of a document counts."""
+        at = f"{path.rstrip('/')}/tables/{uuid.uuid4().hex}"
+        names = self.entries[document_key]
+        for name in names:
+            self.spark.table(name).write.parquet(f"{at}/{name}")
+        rows = sum(self.spark.read.parquet(f"{at}/{name}").count() for name in names)
+        schema = json.dumps({name: dict(self.spark.table(name).dtypes) for name in names})
+        entry = self.spark.createDataFrame([(document_key, document_name, at, schema, names, rows)], "document_key string, document_name string, db_path string, schema_json string, sheet_names array<string>, total_rows bigint")
+        entry.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{path.rstrip('/')}/registry")
+
+    def load(self, path: str) -> DataFrame:
+        """Registers what was saved, and returns the registry, newest first. The entries, one small row a document, come to the driver."""
+        every = latest(self.spark.read.parquet(f"{path.rstrip('/')}/registry"), ["document_key"], ["created_at"])
+        for r in every.orderBy("created_at").toLocalIterator():
+            self.register(r.document_key, {name: self.spark.read.parquet(f"{r.db_path}/{name}") for name in r.sheet_names})
+        return every.orderBy(F.desc("created_at"), "document_key")
+
     def run(self, sql: str, document_key: str | None = None) -> DataFrame:
         check_plan(self.spark, sql, self.tables(document_key))
         return self.spark.sql(sql.strip().rstrip(";"))

@@ -42,14 +42,17 @@ STATUS = "status string, attempts long"
 DECIDED = "key string, event_id long, started boolean, status string, attempts long"
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, attempts = state.get if state.exists else ("new", 0)
-    if state.hasTimedOut:  # stuck work may start again
-        state.remove()
-        return
-    out = []
-    for pdf in batches:
-        for row in pdf.sort_values(["ts", "event_id"]).itertuples():
+def _decider(lease: str | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    wait = int(pd.Timedelta(lease).total_seconds() * 1000) if lease else None
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # stuck work may start again
+            state.remove()
+            return
+        status, attempts = state.get if state.exists else ("new", 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for row in rows.itertuples():
             started = status in ("new", "failed")
             if started:
                 attempts += 1
@@ -57,15 +60,18 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             elif status == "processing" and row.outcome in ("completed", "failed"):
                 status = row.outcome
             out.append((key[0], row.event_id, started, status, attempts))
-    state.update((status, attempts))
-    if out:
+        state.update((status, attempts))
+        if wait and status == "processing":
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000) + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "event_id", "started", "status", "attempts"])
 
+    return decide
+
 
 def deduplicated(stream: DataFrame, lease: str | None = None) -> DataFrame:
     """Streaming: (key, ts, event_id, outcome) -> decisions. A key that is done or in work is a duplicate, a failed one
     is tried again. With a lease, work that stays `processing` is forgotten after that time (stream needs a watermark)."""
-    return stream.groupBy("key").applyInPandasWithState(_decide, DECIDED, STATUS, "append", GroupStateTimeout.EventTimeTimeout if lease else GroupStateTimeout.NoTimeout)
+    return stream.groupBy("key").applyInPandasWithState(_decider(lease), DECIDED, STATUS, "append", GroupStateTimeout.EventTimeTimeout if lease else GroupStateTimeout.NoTimeout)
 
 
 def status_tag(status: Column) -> Column:
