@@ -34,7 +34,7 @@ from .common import Scratch, quoted, slices
 
 LENGTH, GRAM = 200, 40
 #: Context bytes that one block should hold.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Distances from the minimizer that stay together when a bucket beyond BLOCK_BYTES is split, time after time.
 PARTS = (40, 5, 1)
 #: Starts of one text that are looked at together; below 2^16, as offsets share a word with hashes.
