@@ -5,6 +5,8 @@ Each is one `aggregate` over a sorted array, so a document is folded where its r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,22 +89,45 @@ def prepared_sections(sections: Column, merge_max: int = 220, stub_max: int = 12
 PAGE = f"struct<page_number:int,sections:array<{SECTION}>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def merged_across_pages(pages: Column) -> Column:
-    """A page's first section joins the last of the page before if it goes on with it; what is merged away leaves its page."""
-    barrier = lambda s: s["section_type"].isin("image", "table")
-    page = lambda n, s: F.struct(n.cast("int").alias("page_number"), s.alias("sections"))
+    """A page's first section joins the last of the page before if it goes on with it; what is merged away leaves its page.
 
-    def step(acc: Column, x: Column) -> Column:
-        p = F.try_element_at(acc, F.lit(-1))
-        last, first = F.try_element_at(p["sections"], F.lit(-1)), F.try_element_at(x["sections"], F.lit(1))
-        goes_on = ((first["title"] == last["title"]) & ~first["title"].isin("[body]", "")) | first["content"].rlike(r"^\p{Ll}")
-        merges = ~barrier(last) & ~barrier(first) & (first["level"] == 3) & goes_on
-        joined = _section(last["title"], last["level"], merge_text(last["content"], first["content"]), last["section_type"], F.concat(last["lines"], first["lines"]))
-        rest = page(x["page_number"], F.slice(x["sections"], F.lit(2), F.greatest(F.size(x["sections"]) - 1, F.lit(0))))
-        both = F.concat(_replace_last(acc, page(p["page_number"], _replace_last(p["sections"], joined))), F.array(rest))
-        return F.when(F.coalesce(merges, F.lit(False)), both).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(pages, F.array().cast(f"array<{PAGE}>"), step)
+    Whether two pages belong together shows in their own sections; only where a page has a single section does it matter whether that
+    one has left. So the fold runs over flags, and each page is built once."""
+    barrier = lambda s: s["section_type"].isin("image", "table")
+    last = lambda p: F.try_element_at(p["sections"], F.lit(-1))
+    first = lambda p: F.try_element_at(p["sections"], F.lit(1))
+
+    def pair(p: Column, x: Column) -> Column:
+        a, b = last(p), first(x)
+        same = (b["title"] == a["title"]) & ~b["title"].isin("[body]", "")
+        on = ~barrier(a) & ~barrier(b) & (b["level"] == 3) & (same | b["content"].rlike(r"^\p{Ll}"))
+        return F.struct(F.coalesce(on, F.lit(False)).alias("on"), (F.size(p["sections"]) == 1).alias("single"))
+
+    def step(flags: Column, x: Column) -> Column:
+        left = F.try_element_at(flags, F.lit(-1)) & x["single"]  # the page before is empty now
+        return F.concat(flags, F.array(x["on"] & ~left))
+
+    def flagged(ps: Column) -> Column:
+        pairs = F.zip_with(F.slice(ps, F.lit(1), F.size(ps) - 1), F.slice(ps, F.lit(2), F.size(ps) - 1), pair)
+        return F.aggregate(pairs, F.array(F.lit(False)), step)
+
+    def built(ps: Column, flags: Column) -> Callable[[Column, Column], Column]:
+        def one(x: Column, i: Column) -> Column:
+            a, b = last(x), first(F.get(ps, i + 1))
+            joined = _section(a["title"], a["level"], merge_text(a["content"], b["content"]), a["section_type"], F.concat(a["lines"], b["lines"]))
+            own = F.when(F.coalesce(F.get(flags, i + 1), F.lit(False)), _replace_last(x["sections"], joined)).otherwise(x["sections"])
+            kept = F.when(F.get(flags, i), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own)
+            return F.struct(x["page_number"].cast("int").alias("page_number"), kept.alias("sections"))
+
+        return one
+
+    return _let(pages, lambda ps: F.when(F.size(ps) > 0, _let(flagged(ps), lambda flags: F.transform(ps, built(ps, flags)))).otherwise(ps.cast(f"array<{PAGE}>")))
 
 
 def greedy_lines(hits: Column, most: int = 3) -> Column:

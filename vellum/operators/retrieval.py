@@ -212,7 +212,11 @@ def budget_by_group(rows: DataFrame, batch: str, group: str, order: str, text: s
     """Each group's texts, in order, until one would exceed what the batch has left; then the next group goes on.
 
     Texts that a group's own sum already puts beyond the budget are dropped first, so what is collected is bounded."""
-    sums = rows.withColumn("sum", F.sum(F.length(text)).over(Window.partitionBy(batch, group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    # Each text that isn't empty takes a character at least, so a group's first `budget` of them are enough: a rank that Spark
+    # limits in each task before anything is exchanged, however many rows a group has.
+    first = Window.partitionBy(batch, group).orderBy(F.length(text) == 0, order)
+    few = rows.where(F.col(text).isNotNull()).withColumn("r", F.row_number().over(first)).where(F.col("r") <= budget).drop("r")
+    sums = few.withColumn("sum", F.sum(F.length(text)).over(Window.partitionBy(batch, group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     # A group whose first text is too long stays, without texts.
     parts = sums.groupBy(batch, group).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("sum") <= budget, F.struct(order, text)))), lambda s: s[text]).alias("parts"))
     every = parts.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(group, "parts"))).alias("groups"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.stemming import stem_words
+from ..operators import folds
 from ..operators import retrieval as R
 from ..sources.tables import table
 from .text import S_CHUNKS, chunk_rows, docs, s_norm, s_strip
@@ -209,19 +210,21 @@ _RATIO = f"SELECT doc_id, pos, CASE WHEN a = '' OR b = '' OR a = b THEN 1.0::DOU
 
 
 def _ratios(spark, sf_dir) -> DataFrame:
-    j = _children(spark, sf_dir).join(_parents(spark, sf_dir).select("parent_id", "content"), "parent_id")
-    return j.select("doc_id", "pos", T.duplicate_ratio(F.col("content"), F.col("chunk")).alias("ratio"))
+    """doc_id, ratios of its children by place: parent and children are of one row, so nothing is joined."""
+    d = docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("content"), folds.packed(T.sentences(F.col("text")), " ").alias("children"))
+    return d.select("doc_id", F.transform("children", lambda c: T.duplicate_ratio(F.col("content"), c)).alias("ratios"))
 
 
 @query(f"SELECT doc_id, pos, round(ratio, 6) AS ratio FROM ({_RATIO})")
 def child_duplicate_ratio(spark, sf_dir):
-    return _ratios(spark, sf_dir).select("doc_id", "pos", F.round("ratio", 6).alias("ratio"))
+    return _ratios(spark, sf_dir).select("doc_id", F.posexplode("ratios").alias("p", "ratio")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"SELECT doc_id, count(*)::BIGINT AS children, count(*) FILTER (ratio >= 0.9)::BIGINT AS duplicates, CASE WHEN count(*) FILTER (ratio >= 0.9) <= 1 AND count(*) <= 20 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({_RATIO}) GROUP BY doc_id")
 def chunk_quality(spark, sf_dir):
-    dup = F.count_if(F.col("ratio") >= 0.9)
-    return _ratios(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("children"), dup.alias("duplicates"), F.when((dup <= 1) & (F.count("*") <= 20), "PASS").otherwise("FAIL").alias("verdict"))
+    dup = F.size(F.filter("ratios", lambda r: r >= 0.9)).cast("long")
+    n = F.size("ratios").cast("long")
+    return _ratios(spark, sf_dir).where(n > 0).select("doc_id", n.alias("children"), dup.alias("duplicates"), F.when((dup <= 1) & (n <= 20), "PASS").otherwise("FAIL").alias("verdict"))
 
 
 @query(f"SELECT d.source, count(*)::BIGINT AS chunks, count(*) FILTER (c.pos = 1)::BIGINT AS firsts, min(c.doc_id) AS least, max(c.pos)::BIGINT AS most, count(DISTINCT c.doc_id)::BIGINT AS documents FROM ({S_CHUNKS}) c JOIN documents d USING (doc_id) GROUP BY d.source")
