@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from vellum.operators import chunking, structure
+from vellum.functions.registered import register
+from vellum.operators import chunking, sheets, structure
+from vellum.operators import retrieval as R
 from vellum.operators.sql_access import Catalog
 from vellum.sources import files, sinks
 from vellum.streaming import events
@@ -215,3 +217,32 @@ def test_lease_frees_stuck_work(spark, tmp_path):
         q.stop()
     assert {r.event_id: r.started for r in spark.table("leased").collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
     assert prose(20)
+
+
+def test_models_read_sheets(spark):
+    pages = spark.createDataFrame([(1, "a" * 9000, True), (2, "b", True), (3, "c", False)], "k int, content string, needs_refinement boolean")
+    said = lambda s: s.map(lambda t: None if t is None else f"---SECTION---\nTYPE: Table\nTITLE: T\nCONTENT: {len(t)}\n---SECTION---\nbroken" if t[0] == "a" else "nothing")
+    got = sorted((r.k, r.pos, r.section_type, r.title, r.content) for r in sheets.asked_sections(pages, said).collect())
+    assert got == [(1, 0, "table", "T", "8000"), (2, 0, "text", "", "b"), (3, 0, "text", "", "c")]
+    assert {len(r.content) for r in sheets.asked_sections(pages.drop("needs_refinement"), None).collect()} == {9000, 1}
+
+
+def test_providers_answer_in_turn(spark):
+    prompts = spark.createDataFrame([("a",), ("b",), ("c",)], "prompt string")
+    seen = lambda name, known: lambda s: s.map(lambda t: None if t is None else known.get(t, " "))
+    got = {r.prompt: r.answer for r in R.answered(prompts, [seen("one", {"a": "A1"}), seen("two", {"a": "A2", "b": " B2 "})]).collect()}
+    assert got == {"a": "A1", "b": "B2", "c": None}
+
+
+def test_functions_in_sql(spark):
+    assert register(spark, dim=4) == ["stem_en", "split_recursive", "embed"]
+    r = spark.sql("SELECT stem_en('Running') AS a, stem_en('the') AS b, size(split_recursive(repeat('word ', 300))) AS c, size(embed('x y')) AS d, stem_en(NULL) AS e").collect()[0]
+    assert (r.a, r.b, r.c > 2, r.d, r.e) == ("run", "", True, 4, None)
+
+
+def test_markdown_of_sheets(spark):
+    md = "# H\none\n\ntwo\n| a |\n| b |\n#### no heading"
+    pages = spark.createDataFrame([("d", 1, md)], "document_key string, page_number int, markdown string")
+    got = [(r.section_type, r.content) for r in structure.line_sections(pages, sheets=True).orderBy("block").collect()]
+    assert got == [("heading", "H"), ("text", "one"), ("text", "two"), ("table", "| a |\n| b |"), ("text", "#### no heading")]
+    assert [r.content for r in structure.line_sections(pages).orderBy("block").collect()] == ["H", "one\ntwo", "| a |\n| b |", "no heading"]

@@ -225,16 +225,17 @@ def budget_by_group(rows: DataFrame, batch: str, group: str, order: str, text: s
     return both.select(batch, F.col("x.g").alias(group), (F.col("p") + 1).cast("long").alias("k"), F.col("x.t").alias("taken"))
 
 
+def hashed_vector(text: str, dim: int) -> np.ndarray:
+    h = np.array([zlib.crc32(w.encode()) for w in text.lower().split()], dtype=np.int64)
+    return np.bincount(h % dim, weights=1.0 - 2.0 * (h >> 16 & 1), minlength=dim).astype(np.float32)
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
     """A deterministic embedder that needs no model: signed word hashes, counted by place. A model's UDF takes its place."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            h = np.array([zlib.crc32(w.encode()) for w in (t or "").lower().split()], dtype=np.int64)
-            out.append(np.bincount(h % dim, weights=1.0 - 2.0 * (h >> 16 & 1), minlength=dim).astype(np.float32))
-        return pd.Series(out)
+        return texts.map(lambda t: hashed_vector(t or "", dim))
 
     return embed
 
@@ -278,3 +279,12 @@ def in_first_seen_order(rows: DataFrame, query: str, group: str, rank: str, item
     """Ranked rows by group: items by rank, and the group's place by its first item's rank."""
     g = rows.groupBy(query, group).agg(F.min(rank).alias("seen"), F.transform(F.array_sort(F.collect_list(F.struct(rank, item))), lambda x: x[item]).alias("items"))
     return g.withColumn("place", F.dense_rank().over(Window.partitionBy(query).orderBy("seen")).cast("long")).drop("seen")
+
+
+def answered(prompts: DataFrame, providers: list[Callable[[pd.Series], pd.Series]], prompt: str = "prompt") -> DataFrame:
+    """Prompts with `answer`: of the first provider that has one (not null, not blank); later ones are asked for the rest only."""
+    out = prompts.withColumn("answer", F.lit(None).cast("string"))
+    for ask in providers:
+        said = F.trim(F.pandas_udf(ask, "string")(F.when(F.col("answer").isNull(), F.col(prompt))))
+        out = out.withColumn("said", said).withColumn("answer", F.coalesce("answer", F.when(F.col("said") != "", F.col("said")))).drop("said")
+    return out

@@ -5,6 +5,8 @@ A sheet's cells are few (a workbook is one upload), so islands are found per she
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,6 +207,25 @@ def section_blocks(df: DataFrame, text: str) -> DataFrame:
     return b.select(*keys, "pos", F.lower(part(1)).alias("section_type"), part(2).alias("title"), part(3).alias("content"))
 
 
+#: Characters of a sheet or page that a model is asked about.
+ASKED_CHARS = 8000
+
+
+def asked_sections(pages: DataFrame, ask: Callable[[pd.Series], pd.Series] | None, text: str = "content") -> DataFrame:
+    """A model reads grids, or refines pages: pages (keys..., `text`; `needs_refinement` if only some are asked) -> keys..., pos,
+    section_type, title, content of its answers' section blocks. A page that isn't asked, or whose answer has no block, is one
+    text section of its own. Without a model all are."""
+    keys = [c for c in pages.columns if c not in (text, "needs_refinement")]
+    wanted = F.col("needs_refinement") if "needs_refinement" in pages.columns else F.lit(True)
+    answer = F.lit(None).cast("string") if ask is None else F.pandas_udf(ask, "string")(F.when(wanted, F.substring(text, 1, ASKED_CHARS)))
+    asked = pages.select(*keys, text, answer.alias("answer"))
+    blocks = F.filter(F.split(F.coalesce("answer", F.lit("")), "---SECTION---", -1), lambda b: b.rlike(SECTION_BLOCK))
+    part = lambda b: F.struct(F.lower(F.regexp_extract(b, SECTION_BLOCK, 1)).alias("section_type"), F.regexp_extract(b, SECTION_BLOCK, 2).alias("title"), F.regexp_extract(b, SECTION_BLOCK, 3).alias("content"))
+    own = F.array(F.struct(F.lit("text").alias("section_type"), F.lit("").alias("title"), F.col(text).alias("content")))
+    made = asked.select(*keys, F.when(F.size(blocks) > 0, F.transform(blocks, part)).otherwise(own).alias("s"))
+    return made.select(*keys, F.posexplode("s").alias("pos", "x")).select(*keys, "pos", "x.*")
+
+
 def legacy_cells(cells: DataFrame) -> DataFrame:
     """Cleaning for flat sheets: columns that are over four fifths empty go, and, where three columns or more are left,
     so do leading rows of at most one value. Row and column numbers close up."""

@@ -17,24 +17,25 @@ def text_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("line_number", F.col("p") + 1).drop("p").where(strip(F.col("line")) != "")
 
 
-def line_sections(pages: DataFrame) -> DataFrame:
+def line_sections(pages: DataFrame, sheets: bool = False) -> DataFrame:
     """(document_key, page_number, markdown) -> one row for each section: headings, images, tables, lists and bodies.
 
     Lines get classes; a new block starts at each heading and image, and where text and table rows meet. Blank lines
-    end tables only."""
+    end tables only; in markdown made of sheets they end any block, and headings have three levels at most."""
+    heading = HEADING.replace("{1,6}", "{1,3}") if sheets else HEADING
     keys = ["document_key", "page_number"]
     raw = F.regexp_replace(F.col("line"), r"\s+$", "")
     lines = pages.select(*keys, F.posexplode(F.split("markdown", "\n", -1)).alias("p", "line")).select(*keys, (F.col("p") + 1).alias("n"), raw.alias("line"))
-    kind = F.when(F.col("line").rlike(HEADING), "heading").when(F.col("line").rlike(IMAGE), "image").when(F.col("line").rlike(TABLE_ROW), "table").when((strip(F.col("line")) == "") | (strip(F.col("line")) == "```"), "blank").otherwise("text")
+    kind = F.when(F.col("line").rlike(heading), "heading").when(F.col("line").rlike(IMAGE), "image").when(F.col("line").rlike(TABLE_ROW), "table").when((strip(F.col("line")) == "") | (strip(F.col("line")) == "```"), "blank").otherwise("text")
     order = Window.partitionBy(*keys).orderBy("n")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     own = lines.withColumn("kind", kind).withColumn("before", F.lag("kind").over(order)).withColumn("edge", F.sum(F.col("kind").isin("heading", "image").cast("int")).over(upto))
     inner = Window.partitionBy(*keys, "edge").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     prev = F.last(F.when(F.col("kind").isin("table", "text"), F.col("kind")), ignorenulls=True).over(inner)
     shown = own.withColumn("prev", prev).where("kind != 'blank'")
-    starts = F.col("kind").isin("heading", "image") | (~F.col("prev").eqNullSafe(F.col("kind"))) | ((F.col("kind") == "table") & F.col("before").eqNullSafe("blank"))
-    blocks = shown.withColumn("block", F.sum(starts.cast("int")).over(upto)).withColumn("title", F.last(F.when(F.col("kind") == "heading", plain_markdown(F.regexp_extract("line", HEADING, 2))), ignorenulls=True).over(upto))
-    level = F.when(F.col("kind") == "heading", F.least(F.length(F.regexp_extract("line", HEADING, 1)), F.lit(3))).otherwise(3)
+    starts = F.col("kind").isin("heading", "image") | (~F.col("prev").eqNullSafe(F.col("kind"))) | (F.col("kind").isin(*(("table", "text") if sheets else ("table",))) & F.col("before").eqNullSafe("blank"))
+    blocks = shown.withColumn("block", F.sum(starts.cast("int")).over(upto)).withColumn("title", F.last(F.when(F.col("kind") == "heading", plain_markdown(F.regexp_extract("line", heading, 2))), ignorenulls=True).over(upto))
+    level = F.when(F.col("kind") == "heading", F.least(F.length(F.regexp_extract("line", heading, 1)), F.lit(3))).otherwise(3)
     g = blocks.withColumn("level", level).groupBy(*keys, "block").agg(
         F.min("n").alias("first_line"), F.count("*").alias("n_lines"), F.max("kind").alias("kind"), F.max("title").alias("own_title"), F.max("level").alias("level"),
         F.array_sort(F.collect_list(F.struct(F.col("n").alias("line_number"), F.col("line").alias("text")))).alias("lines"),
