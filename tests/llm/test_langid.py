@@ -48,6 +48,49 @@ def test_em_against_a_plain_loop(model):
     assert np.allclose(w[0], v, atol=1e-3) and np.isclose(ll[0], (n * np.log((model.p[gram] * v).sum(axis=1))).sum(), rtol=1e-4)
 
 
+def plain(model, text):
+    """Shares of one text by plain loops, double precision: EM for each nested set of languages, the best penalised likelihood wins."""
+    data = langid.normal(text)
+    if len(data) < 3:
+        return None
+    codes = [int(c) for c in langid.trigrams(data)]
+    p, langs = model.p.astype(np.float64)[codes], len(model.languages)
+    cost = langid.PENALTY * np.log(len(codes) + 1)
+
+    def fit(allowed):
+        v = np.array(allowed, dtype=np.float64) / sum(allowed)
+        for _ in range(langid.ROUNDS):
+            r = p * v
+            new = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            moved, v = np.abs(new - v).max(), new
+            if moved < langid.CLOSE:
+                break
+        return v, np.log((p * v).sum(axis=1)).sum()
+
+    full, _ = fit([1] * langs)
+    order = np.argsort(-full, kind="stable")
+    tried = [(np.log(p[:, k]).sum() - cost, np.eye(langs)[k]) for k in range(langs)]
+    for k in range(2, langs + 1):
+        v, ll = fit([1 if i in order[:k] else 0 for i in range(langs)])
+        tried.append((ll - k * cost, v))
+    return max(tried, key=lambda x: x[0])[1]
+
+
+def test_every_text_against_plain_loops(spark, data, model):
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    texts = [r.text for r in rows]
+    texts += [a[:400] + " " + b[-300:] for a, b in zip(texts[:40], texts[40:80])] + ["12", "", "é", "a b"]
+    got = langid.LanguageModel(model.languages, model.p).shares([langid.normal(t) for t in texts])
+    mixed = 0
+    for t, w in zip(texts, got):
+        want = plain(model, t)
+        assert (want is None and not w.any()) or np.allclose(w, want, atol=5e-3), t[:80]
+        mixed += (w > 0).sum() > 1
+    assert mixed > 5
+    one = [model.shares([langid.normal(t)])[0] for t in texts[:30]]
+    assert np.array_equal(np.array(one), got[:30])  # a batch changes nothing
+
+
 def test_long_texts_are_counted_whole(monkeypatch, model):
     data = [langid.normal("abc def ghi " * 200), langid.normal("x y")]
     whole = langid.counted(data)

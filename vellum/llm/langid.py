@@ -3,8 +3,8 @@
 Each language has a distribution over letter trigrams (UTF-8 bytes of the lower-cased words with single spaces
 between, hashed to 16 bits). A document's language shares are the mixture weights that expectation-maximisation
 finds for its trigram counts. Sets of languages, nested by share, are compared by log-likelihood less a penalty
-for each language; the best set's shares are the result. Each fit ends when no share moves by 0.002, or after 25 rounds at
-most; sets of two or more are tried only where the fit with all languages beats the best single one by a penalty.
+for each language; the best set's shares are the result. Each document's fit ends when none of its shares moves by 0.002,
+or after 25 rounds at most; sets of two or more are tried only where the fit with all languages beats the best single one by a penalty.
 
 Null text, and text without letters, is `und` with score 0 and no shares; so is everything if no labelled row
 could be learned from. Null ids are never learned from. Texts are used whole, very long ones in steps; repeated rows are
@@ -88,13 +88,15 @@ class LanguageModel:
         total = np.add.reduceat(n, starts)
         w = (allowed / allowed.sum(axis=1, keepdims=True)).astype(np.float32)
         p, counts = self.p[gram], n[:, None]
+        going = np.ones(size, dtype=bool)  # each document ends for itself, so that what lies in its batch changes nothing
         for _ in range(ROUNDS):
             r = p * w[doc]
             r *= counts / r.sum(axis=1, keepdims=True)
             new = np.add.reduceat(r, starts, axis=0) / total[:, None]
-            moved = np.abs(new - w).max()
-            w = new
-            if moved < CLOSE:
+            moved = np.abs(new - w).max(axis=1)
+            w[going] = new[going]
+            going &= moved >= CLOSE
+            if not going.any():
                 break
         s = (p * w[doc]).sum(axis=1)
         return w, np.add.reduceat(n * np.log(s), starts)
