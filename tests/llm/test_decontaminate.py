@@ -51,6 +51,17 @@ def test_matches_brute_force(spark, monkeypatch):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_whole_table_against_brute_force(spark):
+    """Every document and item that share a shingle (others can't be alike), all windows compared exactly: nothing is missed."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"\w+", (t or "").lower())] for i in range(len(w) - 4)}
+    items = [(r.item_id, r.text, grams(r.text)) for r in bench.collect()]
+    want = {(r.doc_id, i): s for r in docs.collect() for g in [grams(r.text)] for i, t, own in items if g & own and (s := brute(r.text, t)) >= 0.8}
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.contaminated(docs, bench).collect()}
+    assert len(want) > 10 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 @pytest.mark.parametrize("few", [46, 0, 10**9])
 def test_index_finds_all_within_the_radius(monkeypatch, few):
     monkeypatch.setattr(D, "FEW", few)
