@@ -1,5 +1,6 @@
 """The chunk queries, row by row, against plain Python that shares no code with them."""
 
+import json
 import re
 import zlib
 
@@ -153,7 +154,7 @@ def chunks(rows):
                     out.append(("child", mark + c, hit))
                 for k, (what, text, lines) in enumerate(out):
                     said = f"{prefix(source, kind, section, number)}\n\n{text}" if what == "child" else text
-                    yield key, number, idx, k, what, parent, section, text, said, lines[0][0], lines[-1][0]
+                    yield key, number, idx, k, what, parent, section, text, said, lines[0][0], lines[-1][0], lines
 
 
 @pytest.fixture(scope="module")
@@ -163,7 +164,7 @@ def rows(spark, data):
 
 def test_document_chunks(spark, data, rows):
     got = entry.queries()["document_chunks"](spark, data).collect()
-    have = sorted((r.document_key, r.page_number, r.s_idx, r.ordinal, r.chunk_type, r.parent_id, r.section, r.content, r.enriched_content, r.start_line, r.end_line) for r in got)
+    have = sorted((r.document_key, r.page_number, r.s_idx, r.ordinal, r.chunk_type, r.parent_id, r.section, r.content, r.enriched_content, r.start_line, r.end_line, [(x["line_number"], x["text"]) for x in json.loads(r.lines)]) for r in got)
     want = sorted(chunks(rows))
     assert len(have) == len(want) > 500
     for a, b in zip(have, want):
@@ -174,7 +175,7 @@ def test_chunk_evaluation(spark, data, rows):
     want = {}
     made = list(chunks(rows))
     texts = {c[5]: c[7] for c in made if c[4] == "parent"}
-    for key, _, _, _, what, parent, section, text, said, _, _ in made:
+    for key, _, _, _, what, parent, section, text, said, _, _, _ in made:
         w = want.setdefault(key, dict.fromkeys(("parents", "children", "duplicates", "short_parents", "suspicious_titles", "unenriched", "tables"), 0))
         if what == "parent":
             w["parents"] += 1

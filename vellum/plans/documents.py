@@ -38,7 +38,7 @@ def structured(spark, sf_dir) -> DataFrame:
 
 @query()
 def document_chunks(spark, sf_dir):
-    return chunking.chunked(structured(spark, sf_dir)).drop("lines")
+    return chunking.chunked(structured(spark, sf_dir)).withColumn("lines", F.to_json("lines"))
 
 
 @query()
