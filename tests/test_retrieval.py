@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions.stemming import STOP_WORDS, lexeme, stem
 from vellum.functions.text import words
 from vellum.operators import retrieval as R
+from vellum.operators.search_cache import SearchCache
 
 STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistently consist consolation consol consolatory consolatori
 consolidate consolid consolidating consolid consolingly consol conspicuously conspicu conspiracy conspiraci conspirators conspir constables constabl constancy constanc knackeries knackeri knavish knavish
@@ -92,3 +93,26 @@ def test_children_without_a_parent_stay(spark):
     children = spark.createDataFrame([("a", "p1"), ("b", "p2"), ("c", None)], "chunk string, parent_id string")
     parents = spark.createDataFrame([("p1", "whole")], "parent_id string, content string")
     assert {r.chunk: r.parent_text for r in R.with_parents(children, parents).collect()} == {"a": "whole", "b": None, "c": None}
+
+
+def test_search_cache(spark):
+    now, made = [0.0], []
+
+    def search():
+        made.append(1)
+        return spark.range(3)
+
+    cache = SearchCache(seconds=300, most=2, clock=lambda: now[0])
+    one = lambda q="a", groups=("g",): cache.get(q, {"type": "x"}, set(groups), search)
+    assert one() is one() and len(made) == 1 and one().count() == 3
+    one(groups=("h",))
+    assert len(made) == 2  # other rights, another entry
+    now[0] = 301
+    one()
+    assert len(made) == 3
+    one("b"), one("c")
+    assert len(cache.held) == 2 and len(made) == 5
+    cache.clear()
+    one("c")
+    assert len(made) == 6
+    cache.clear()

@@ -42,6 +42,11 @@ def chunk_id(key: Column, ordinal: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("\x01", key, ordinal.cast("string"), text), 256)
 
 
+def image_key(path: Column, page: Column, dpi: Column) -> Column:
+    """The name under which a page's picture is cached."""
+    return F.concat(F.substring(F.md5(path), 1, 12), F.lit("_p"), page.cast("string"), F.lit("_d"), dpi.cast("string"))
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(strip(F.coalesce(c, F.lit(""))), SENTENCE), strip), lambda s: s != "")
 

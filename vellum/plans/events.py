@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import accepted_tags, accepted_value, type_change
 from ..sources.tables import table
-from ..streaming.events import STAGES, event_key, failure_message, progress, replayed, status_tag
+from ..streaming.events import STAGES, event_key, failure_message, progress, recognised, replayed, status_tag
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,15 @@ def event_failures(spark, sf_dir):
     return _outcomes(spark, sf_dir).where("outcome = 'failed'").select("event_id", "key", failure_message(F.repeat(F.concat("outcome", F.lit(" ")), 300)).alias("message"))
 
 
+_RECOGNISED = "SELECT user_id AS document_id, event_id % 3 AS version_id, ts, event_id, CASE WHEN event_type IN ('purchase', 'view') THEN 'finished' ELSE 'running' END AS state FROM events"
+
+
+@query(f"SELECT 'ocr.document_version_finish' AS event, document_id, version_id, ts, 'ocr.document_version_finish:doc:' || document_id || ':version:' || version_id AS key FROM (SELECT *, lag(state) OVER (PARTITION BY document_id, version_id ORDER BY ts) AS before FROM ({_RECOGNISED})) WHERE state = 'finished' AND before IS DISTINCT FROM 'finished'")
+def ocr_triggers(spark, sf_dir):
+    states = events(spark, sf_dir).select(F.col("user_id").alias("document_id"), (F.col("event_id") % 3).alias("version_id"), "ts", F.when(F.col("event_type").isin("purchase", "view"), "finished").otherwise("running").alias("state"))
+    return recognised(states)
+
+
 _STATE = "CASE event_id % 5 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'STARTED' WHEN 2 THEN 'PROGRESS' WHEN 3 THEN 'SUCCESS' ELSE 'FAILURE' END"
 
 

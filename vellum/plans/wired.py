@@ -213,3 +213,8 @@ def coverage_overall(spark, sf_dir):
 @query()
 def highlight_phrases(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.highlight_terms("show the there and erent words", F.concat(F.lit("[Section: x] "), "text")), "|").alias("terms"))
+
+
+@query("SELECT page_id, substr(md5(url), 1, 12) || '_p' || page_id % 7 || '_d' || CASE WHEN page_id % 2 = 0 THEN 150 ELSE 200 END AS image FROM pages")
+def image_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.image_key(F.col("url"), F.col("page_id") % 7, F.when(F.col("page_id") % 2 == 0, 150).otherwise(200)).alias("image"))

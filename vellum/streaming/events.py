@@ -22,6 +22,19 @@ def event_key(event_id: Column, event: Column, document: Column, version: Column
     return F.coalesce(event_id.cast("string"), made)
 
 
+# Fixed value: the name of the event that recognised text sends.
+FINISHED = "ocr.document_version_finish"
+
+
+def recognised(states: DataFrame) -> DataFrame:
+    """(document_id, version_id, ts, state) -> an event for each time that a version's text recognition comes to its end: event, document_id,
+    version_id, ts, key. A state that is only told again sends nothing."""
+    before = F.lag("state").over(Window.partitionBy("document_id", "version_id").orderBy("ts"))
+    ended = states.withColumn("before", before).where((F.col("state") == "finished") & ~F.col("before").eqNullSafe("finished"))
+    key = event_key(F.lit(None).cast("string"), F.lit(FINISHED), F.col("document_id"), F.col("version_id"))
+    return ended.select(F.lit(FINISHED).alias("event"), "document_id", "version_id", "ts", key.alias("key"))
+
+
 def replayed(outcomes: DataFrame) -> DataFrame:
     """Batch twin of `deduplicated`: (key, ts, event_id, outcome) -> started, status. An event starts work unless its key is done or
     in work; what failed may be tried again. A key once completed stays so; until then its status is its latest outcome."""
