@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vellum.functions.registered import register
 from vellum.operators import chunking, sheets, structure
 from vellum.operators import retrieval as R
-from vellum.operators.sql_access import Catalog
+from vellum.operators.sql_access import Catalog, Refused
 from vellum.sources import files, sinks
 from vellum.streaming import events
 
@@ -238,6 +238,9 @@ def test_functions_in_sql(spark):
     assert register(spark, dim=4) == ["stem_en", "split_recursive", "embed"]
     r = spark.sql("SELECT stem_en('Running') AS a, stem_en('the') AS b, size(split_recursive(repeat('word ', 300))) AS c, size(embed('x y')) AS d, stem_en(NULL) AS e").collect()[0]
     assert (r.a, r.b, r.c > 2, r.d, r.e) == ("run", "", True, 4, None)
+    with pytest.raises(Refused):
+        Catalog(spark).run("SELECT stem_en('Running') AS a")
+    assert Catalog(spark, ["stem_en"]).run("SELECT stem_en('Running') AS a").collect()[0].a == "run"
 
 
 def test_markdown_of_sheets(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +45,9 @@ class _Gate:
     """Walks a parsed plan. Names are resolved by scope: a WITH query's name holds for the queries behind it and for the main
     query, within itself only if it is recursive."""
 
-    def __init__(self, spark: SparkSession, tables: set[str]):
+    def __init__(self, spark: SparkSession, tables: set[str], functions: Iterable[str] = ()):
         self.gateway, self.tables = spark.sparkContext._gateway, {t.lower() for t in tables}
+        self.functions = {f.lower() for f in functions}
         self.registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
         self.identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
 
@@ -84,25 +85,27 @@ class _Gate:
             self.expression(kids.apply(i), bound)
 
     def function(self, name: str) -> None:
+        if name.lower() in self.functions:
+            return
         found = None if "." in name else self.registry.lookupFunction(self.identifier(name.lower()))
         if found is None or found.isEmpty() or found.get().getGroup() not in FUNCTION_GROUPS:
             raise Refused(f"function: {name}")
 
 
-def check_plan(spark: SparkSession, sql: str, tables: set[str]) -> None:
-    """Refuses what isn't a query over these tables alone, judged by the parsed plan."""
+def check_plan(spark: SparkSession, sql: str, tables: set[str], functions: Iterable[str] = ()) -> None:
+    """Refuses what isn't a query over these tables alone, judged by the parsed plan. functions: registered ones that may be called as well."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except Exception as e:  # what doesn't parse is refused, whatever the parser throws
         raise Refused(f"not SQL: {str(e)[:200]}") from e
-    _Gate(spark, tables).plan(plan, frozenset())
+    _Gate(spark, tables, functions).plan(plan, frozenset())
 
 
 class Catalog:
     """Tables of documents under names that are valid in SQL; the latest registration of a document counts."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.entries = spark, {}
+    def __init__(self, spark: SparkSession, functions: Iterable[str] = ()):
+        self.spark, self.entries, self.functions = spark, {}, frozenset(functions)
 
     def register(self, document_key: str, frames: dict[str, DataFrame]) -> list[str]:
         self.remove(document_key)
@@ -145,7 +148,7 @@ class Catalog:
         return every.orderBy(F.desc("created_at"), "document_key")
 
     def run(self, sql: str, document_key: str | None = None) -> DataFrame:
-        check_plan(self.spark, sql, self.tables(document_key))
+        check_plan(self.spark, sql, self.tables(document_key), self.functions)
         return self.spark.sql(sql.strip().rstrip(";"))
 
 
