@@ -50,9 +50,10 @@ def test_long_text_in_steps(monkeypatch):
     assert simhash.fingerprint(text, 3) == whole
 
 
-@pytest.mark.parametrize("shared", [24, 2])
-def test_components_match_brute_force(spark, monkeypatch, shared):
+@pytest.mark.parametrize(("shared", "deep"), [(24, 1 << 15), (2, 1 << 15), (2, 4)])
+def test_components_match_brute_force(spark, monkeypatch, shared, deep):
     monkeypatch.setattr(simhash, "SHARED", shared)
+    monkeypatch.setattr(simhash, "DEEP", deep)
     monkeypatch.setattr(simhash, "TABLE_BLOCK", 16)
     monkeypatch.setattr(simhash, "PROBE_BLOCK", 64)
     rng = random.Random(5)
@@ -64,6 +65,8 @@ def test_components_match_brute_force(spark, monkeypatch, shared):
             for _ in range(rng.randint(0, 5)):
                 x ^= 1 << rng.randrange(64)
             fps.append(x)
+    half = rng.getrandbits(32) << 32  # one half that many share, with near and far other halves
+    fps += [half | rng.getrandbits(32) & mask for mask in (0xFFFFFFFF, 0xFF, 0xFF0000, 0x0000F00F) for _ in range(30)]
     fps += [0, 1, (1 << 64) - 1, 1 << 63]
     fps = np.unique(np.array(fps, dtype=np.uint64)).view(np.int64).tolist()
     scratch = Scratch(spark, "test")

@@ -4,7 +4,9 @@ A fingerprint's two 32-bit halves are looked up in a table of halves. Two finger
 bits have a half that differs in at most one, so each fingerprint enumerates the radius-one ball (33 values) of
 each half, fetches the matches and checks the complete distance. Equal fingerprints are one node from the start.
 A half that many fingerprints share goes another, equally exact way: its table and its probes are laid out in a
-grid of bounded blocks, and each block returns a spanning forest of its links instead of all pairs.
+grid of bounded blocks, and each block returns a spanning forest of its links instead of all pairs. In a half that very many
+share, the other half (at most three bits apart) is looked up the same way by its two quarters, one of which
+differs in at most one bit; half and quarter together leave 2^16 fingerprints at most, so the work has a linear bound.
 
 Texts that are alike by 0.8 or more may lie further apart than such balls reach. Where `alike` is set, links that the wide
 fingerprints of sketches.py find and the sets of shingles confirm are added to those of the multi-index.
@@ -33,8 +35,9 @@ from .components import components
 
 SEED = 42
 RADIUS = 3
-#: A half that more fingerprints share is compared in blocks.
-SHARED = 24
+#: A half that more fingerprints share is compared in blocks; one that more than DEEP share is looked up once more, by quarters of
+#: the other half, so that a group's comparisons stop growing with its square.
+SHARED, DEEP = 24, 1 << 15
 #: Rows of a block: its table side and its probe side.
 TABLE_BLOCK, PROBE_BLOCK = 2048, 8192
 #: Shingles that are hashed at once.
@@ -119,31 +122,15 @@ def _forest(probes: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndar
     return nodes[moved], nodes[root[moved]]
 
 
-def links(scratch: Scratch, distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct: (fp) without repeats -> links (a, b) that connect exactly what pairs within the radius connect."""
-    ball = radius // 2
-    if ball != 1:
-        raise ValueError("two halves and balls of radius one serve distances of 2 and 3")
-    halves = F.array(*[F.struct(F.lit(s).alias("s"), e.alias("v")) for s, e in enumerate((F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))))])
-    own = distinct.select("fp", F.inline(halves))
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    probes = own.select("fp", "s", "v", F.explode(masks).alias("mask")).select("s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), F.col("fp").alias("x"))
-    # A half that only one fingerprint has still is a partner for its ball; halves without any table entry drop out in the join.
-    shared = scratch.write(own.groupBy("s", "v").agg(F.count("*").alias("n")).where(F.col("n") > SHARED), "shared")
-    table = own.withColumnRenamed("fp", "y")
-    is_hot = F.coalesce(F.col("n"), F.lit(0)) > 0
-    marked = table.join(shared, ["s", "v"], "left")
-    cold = probes.join(marked.where(~is_hot).drop("n"), ["s", "v"]).where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if shared.isEmpty():
-        return cold
-    hot_probes = scratch.write(probes.join(shared, ["s", "v"]), "hot-probes")
-    sizes = hot_probes.groupBy("s", "v").agg(F.count("*").alias("m"))
-    blocks = scratch.write(shared.join(sizes, ["s", "v"]).select("s", "v", F.ceil(F.col("n") / TABLE_BLOCK).cast("int").alias("nt"), F.ceil(F.col("m") / PROBE_BLOCK).cast("int").alias("np")), "blocks")
+def _grid(scratch: Scratch, name: str, table: DataFrame, probes: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Links between table entries (keys, y, n: how many share the keys) and probes (keys, x, n), key by key in bounded blocks."""
+    sizes = probes.groupBy(*keys).agg(F.count("*").alias("m"), F.max("n").alias("n"))
+    blocks = scratch.write(sizes.select(*keys, F.ceil(F.col("n") / TABLE_BLOCK).cast("int").alias("nt"), F.ceil(F.col("m") / PROBE_BLOCK).cast("int").alias("np")), f"{name}-blocks")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = (
-        hot_probes.drop("n").join(blocks, ["s", "v"]).select("s", "v", all_of("nt").alias("t"), deal("x", "np").alias("p"), F.col("x").alias("fp"), F.lit(False).alias("entry"))
-        .unionAll(table.join(blocks, ["s", "v"]).select("s", "v", deal("y", "nt").alias("t"), all_of("np").alias("p"), F.col("y").alias("fp"), F.lit(True).alias("entry")))
+        probes.drop("n").join(blocks, keys).select(*keys, all_of("nt").alias("t"), deal("x", "np").alias("p"), F.col("x").alias("fp"), F.lit(False).alias("entry"))
+        .unionAll(table.drop("n").join(blocks, keys).select(*keys, deal("y", "nt").alias("t"), all_of("np").alias("p"), F.col("y").alias("fp"), F.lit(True).alias("entry")))
     )
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,8 +138,47 @@ def links(scratch: Scratch, distinct: DataFrame, radius: int = RADIUS) -> DataFr
         a, b = _forest(fps[~entry], fps[entry], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    hot = rows.groupBy("s", "v", "t", "p").applyInPandas(block, "a bigint, b bigint")
-    return cold.unionAll(hot)
+    return rows.groupBy(*keys, "t", "p").applyInPandas(block, "a bigint, b bigint")
+
+
+def _parted(rows: DataFrame, fp: str, reach: bool) -> DataFrame:
+    """Rows of a half (s, v) by a quarter (u, w) of the other half; with `reach`, by all values within one bit of it."""
+    other = F.when(F.col("s") == 0, F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(fp, 32))
+    quarters = F.array(*[F.struct(F.lit(u).alias("u"), w.alias("w")) for u, w in enumerate((F.shiftrightunsigned(other, 16), other.bitwiseAND(F.lit(0xFFFF))))])
+    out = rows.drop("n").select("*", F.inline(quarters))
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(16)])
+    return out.withColumn("mask", F.explode(masks)).withColumn("w", F.col("w").bitwiseXOR(F.col("mask"))).drop("mask") if reach else out
+
+
+def _met(scratch: Scratch, name: str, table: DataFrame, probes: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Links (a, b) between table entries (keys, y) and probes (keys, x) of one key that lie within the radius."""
+    shared = scratch.write(table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > SHARED), f"{name}-shared")
+    marked = table.join(shared, keys, "left")
+    near = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)
+    cold = probes.join(marked.where(F.col("n").isNull()).drop("n"), keys).where(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if shared.isEmpty():
+        return cold
+    hot_probes, hot_table = scratch.write(probes.join(shared, keys), f"{name}-probes"), table.join(shared, keys)
+    if "u" in keys:  # at most 2^16 entries share half and quarter
+        return cold.unionAll(_grid(scratch, name, hot_table, hot_probes, keys, radius))
+    some = cold.unionAll(_grid(scratch, name, hot_table.where(F.col("n") <= DEEP), hot_probes.where(F.col("n") <= DEEP), keys, radius))
+    deep = F.col("n") > DEEP
+    if shared.where(deep).isEmpty():
+        return some
+    return some.unionAll(_met(scratch, f"{name}-deep", _parted(hot_table.where(deep), "y", False), _parted(hot_probes.where(deep), "x", True), [*keys, "u", "w"], radius))
+
+
+def links(scratch: Scratch, distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """distinct: (fp) without repeats -> links (a, b) that connect exactly what pairs within the radius connect."""
+    ball = radius // 2
+    if ball != 1:
+        raise ValueError("two halves and balls of radius one serve distances of 2 and 3")
+    halves = F.array(*[F.struct(F.lit(s).alias("s"), e.alias("v")) for s, e in enumerate((F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))))])
+    own = distinct.select("fp", F.inline(halves))
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
+    probes = own.select("fp", "s", "v", F.explode(masks).alias("mask")).select("s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), F.col("fp").alias("x"))
+    # A half that only one fingerprint has still is a partner for its ball; halves without any table entry drop out in the join.
+    return _met(scratch, "halves", own.withColumnRenamed("fp", "y"), probes, ["s", "v"], radius)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", alike: bool = False) -> DataFrame:
