@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vellum.functions.stemming import STOP_WORDS, lexeme, stem
-from vellum.functions.text import words
+from vellum.functions.text import UNSOUGHT, words
 from vellum.operators import retrieval as R
 from vellum.operators.search_cache import SearchCache
 
@@ -116,3 +116,26 @@ def test_search_cache(spark):
     one("c")
     assert len(made) == 6
     cache.clear()
+
+
+def phrases(query, text):
+    """Phrases to look for in a page, word by word."""
+    sought = [w for w in query.lower().split() if len(w) > 2 and w not in UNSOUGHT]
+    words, out, i = re.split(r"\s+", re.sub(r"\[(?:Section|Clause):.*?\]\s*", "", text)), [], 0
+    while i < len(words) - 2 and len(out) < 3:
+        phrase = re.sub(r"[^a-zA-Z0-9\s-]", "", " ".join(words[i : i + 4])).strip()
+        if 10 < len(phrase) < 60 and any(w in phrase.lower() for w in sought):
+            out.append(phrase)
+            i += 4
+        else:
+            i += 1
+    return out or sought[:4]
+
+
+def test_highlight_phrases(spark, data):
+    from vellum.plans.registry import QUERIES
+
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: r.terms for r in QUERIES["highlight_phrases"](spark, data).collect()}
+    assert got == {d: "|".join(phrases("show the there and erent words", f"[Section: x] {t}")) for d, t in text.items()}
+    assert len(set(got.values())) > 20

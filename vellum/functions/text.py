@@ -34,6 +34,7 @@ def slug(c: Column, sep: str = "-", default: str = "document") -> Column:
 
 
 def document_key(name: Column, external_id: Column) -> Column:
+    # The prefixes of keys.
     return F.when(external_id.isNotNull(), F.concat(F.lit("mayan:"), external_id.cast("string"))).otherwise(F.concat(F.lit("upload:"), slug(name)))
 
 
