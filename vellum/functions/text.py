@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -179,12 +180,26 @@ def context_window(parent: Column, child: Column, budget: int) -> Column:
     return F.when(found < 0, F.substring(parent, 1, budget)).otherwise(window)
 
 
-def duplicate_ratio(parent: Column, child: Column) -> Column:
-    a, b = collapse(F.coalesce(parent, F.lit(""))), collapse(F.coalesce(child, F.lit("")))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Of two texts with single spaces: 1 if equal or either is empty, the ratio of their lengths if one holds the other, else 0."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     return F.when((a == "") | (b == "") | (a == b), F.lit(1.0)).when(F.contains(a, b) | F.contains(b, a), short / long).otherwise(F.lit(0.0))
 
 
+def duplicate_ratio(parent: Column, child: Column) -> Column:
+    return overlap(collapse(F.coalesce(parent, F.lit(""))), collapse(F.coalesce(child, F.lit(""))))
+
+
+def duplicate_ratios(parent: Column, children: Column) -> Column:
+    """The ratio of each child; the parent is prepared once."""
+    return let(collapse(F.coalesce(parent, F.lit(""))), lambda a: F.transform(children, lambda c: overlap(a, collapse(F.coalesce(c, F.lit(""))))))
+
+
 def is_duplicate_child(parent: Column, child: Column) -> Column:
     a, b = collapse(F.coalesce(parent, F.lit(""))), collapse(F.coalesce(child, F.lit("")))
     return (a == "") | (b == "") | (a == b) | (F.contains(a, b) & (F.length(b) >= F.length(a) * 0.95))

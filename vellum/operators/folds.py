@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import CHILD_MAX, CHILD_MIN, merge_text, normalize, strip
+from ..functions.text import CHILD_MAX, CHILD_MIN, let, merge_text, normalize, strip
 
 
 def packed(parts: Column, joiner: str, limit: int = CHILD_MAX, least: int = CHILD_MIN) -> Column:
@@ -89,11 +89,6 @@ def prepared_sections(sections: Column, merge_max: int = 220, stub_max: int = 12
 PAGE = f"struct<page_number:int,sections:array<{SECTION}>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def merged_across_pages(pages: Column) -> Column:
     """A page's first section joins the last of the page before if it goes on with it; what is merged away leaves its page.
 
@@ -127,7 +122,7 @@ def merged_across_pages(pages: Column) -> Column:
 
         return one
 
-    return _let(pages, lambda ps: F.when(F.size(ps) > 0, _let(flagged(ps), lambda flags: F.transform(ps, built(ps, flags)))).otherwise(ps.cast(f"array<{PAGE}>")))
+    return let(pages, lambda ps: F.when(F.size(ps) > 0, let(flagged(ps), lambda flags: F.transform(ps, built(ps, flags)))).otherwise(ps.cast(f"array<{PAGE}>")))
 
 
 def greedy_lines(hits: Column, most: int = 3) -> Column:

@@ -147,10 +147,13 @@ def keyword_topk(index: DataFrame, queries: DataFrame, id_col: str, k: int = 50)
 def bm25_topk(rows: DataFrame, queries: DataFrame, id_col: str, words: Column, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Okapi BM25. A negative idf becomes a quarter of the mean idf of all terms. queries: query_id, term (distinct)."""
     w = rows.select(id_col, words.alias("w"))
-    total = w.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    df = w.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # One pass counts each term's documents and, under a null term, all documents and their words.
+    marked = F.concat(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").alias("dl"))))
+    stats = w.select(F.inline(marked)).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
+    total = stats.where("term IS NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("mean"))
+    df = stats.where("term IS NOT NULL").select("term", "df")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    # The mean is over few rows: terms with one frequency have one idf.
+    # The mean idf is over few rows: terms with one frequency have one idf.
     floor = df.groupBy("df").count().crossJoin(F.broadcast(total)).agg((F.sum(raw * F.col("count")) / F.sum("count") * 0.25).alias("floor"))
     weights = asked_only(df, queries).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(floor)).select("term", "mean", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
     posted = asked_only(w.select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term")), queries).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))

@@ -212,7 +212,7 @@ _RATIO = f"SELECT doc_id, pos, CASE WHEN a = '' OR b = '' OR a = b THEN 1.0::DOU
 def _ratios(spark, sf_dir) -> DataFrame:
     """doc_id, ratios of its children by place: parent and children are of one row, so nothing is joined."""
     d = docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("content"), folds.packed(T.sentences(F.col("text")), " ").alias("children"))
-    return d.select("doc_id", F.transform("children", lambda c: T.duplicate_ratio(F.col("content"), c)).alias("ratios"))
+    return d.select("doc_id", T.duplicate_ratios(F.col("content"), F.col("children")).alias("ratios"))
 
 
 @query(f"SELECT doc_id, pos, round(ratio, 6) AS ratio FROM ({_RATIO})")
