@@ -218,8 +218,9 @@ def coverage_form(c: Column) -> Column:
 
 def covered_lines(lines: Column, chunks: Column) -> Column:
     """How many of a page's lines are in one of its chunks, whole or, beyond 15 characters, by their first 40; very short ones count."""
-    held, form = F.transform(chunks, coverage_form), F.transform(lines, coverage_form)
-    return F.size(F.filter(form, lambda t: (F.length(t) < 3) | F.exists(held, lambda c: F.contains(c, t) | ((F.length(t) > 15) & F.contains(c, F.substring(t, 1, 40))))))
+    form = F.transform(lines, coverage_form)
+    hit = lambda held: lambda t: (F.length(t) < 3) | F.exists(held, lambda c: F.contains(c, t) | ((F.length(t) > 15) & F.contains(c, F.substring(t, 1, 40))))
+    return let(F.transform(chunks, coverage_form), lambda held: F.size(F.filter(form, hit(held))))
 
 
 # Patterns of list items, subsections and front matter; titles that are skipped.

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from .folds import budgeted, greedy_lines
 
 #: Vector queries of one block, and terms of queries that may be broadcast; more terms go by a shuffled join.
@@ -120,18 +121,20 @@ def terms(rows: DataFrame, id_col: str, words: Column, queries: DataFrame) -> Da
 def cover_density(places: Column, need: Column) -> Column:
     """Cover density rank at weight 0.1. A cover is a shortest extent that holds all `need` terms; it adds 0.1 / (1 + words in it
     that aren't the terms), so a single term adds 0.1 for each occurrence. places: array of struct(p, t), t the terms' numbers from 0."""
-    ordered = F.array_sort(places)
     start = F.struct(F.array_repeat(F.lit(0), need.cast("int")).alias("last"), F.lit(0).alias("begin"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"))
 
-    def step(s: Column, x: Column) -> Column:
-        i = s["i"] + 1
-        last = F.transform(s["last"], lambda v, t: F.when(t == x["t"], i).otherwise(v))  # each term's latest occurrence
-        begin = F.array_min(last)
-        noise = x["p"] - F.element_at(ordered, F.greatest(begin, F.lit(1)))["p"] - (i - begin)
-        new = begin > s["begin"]
-        return F.struct(last.alias("last"), F.greatest(begin, s["begin"]).alias("begin"), (s["sum"] + F.when(new, F.lit(0.1) / (noise + 1)).otherwise(0.0)).alias("sum"), i.alias("i"))
+    def summed(ordered: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            i = s["i"] + 1
+            last = F.transform(s["last"], lambda v, t: F.when(t == x["t"], i).otherwise(v))  # each term's latest occurrence
+            begin = F.array_min(last)
+            noise = x["p"] - F.element_at(ordered, F.greatest(begin, F.lit(1)))["p"] - (i - begin)
+            new = begin > s["begin"]
+            return F.struct(last.alias("last"), F.greatest(begin, s["begin"]).alias("begin"), (s["sum"] + F.when(new, F.lit(0.1) / (noise + 1)).otherwise(0.0)).alias("sum"), i.alias("i"))
 
-    return F.aggregate(ordered, start, step, lambda s: s["sum"])
+        return F.aggregate(ordered, start, step, lambda s: s["sum"])
+
+    return let(F.array_sort(places), summed)
 
 
 def keyword_topk(index: DataFrame, queries: DataFrame, id_col: str, k: int = 50) -> DataFrame:
