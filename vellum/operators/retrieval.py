@@ -112,12 +112,6 @@ def asked_only(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(asked) if few else asked, "term", "left_semi")
 
 
-def terms(rows: DataFrame, id_col: str, words: Column, queries: DataFrame) -> DataFrame:
-    """id, dl, term, tf, places (from 1) of the terms that queries ask for: words go no further than the join if none does."""
-    w = rows.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("dl"), F.posexplode("w").alias("p", "term"))
-    return asked_only(w, queries).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("places"))
-
-
 def cover_density(places: Column, need: Column) -> Column:
     """Cover density rank at weight 0.1. A cover is a shortest extent that holds all `need` terms; it adds 0.1 / (1 + words in it
     that aren't the terms), so a single term adds 0.1 for each occurrence. places: array of struct(p, t), t the terms' numbers from 0."""
@@ -137,12 +131,19 @@ def cover_density(places: Column, need: Column) -> Column:
     return let(F.array_sort(places), summed)
 
 
-def keyword_topk(index: DataFrame, queries: DataFrame, id_col: str, k: int = 50) -> DataFrame:
-    """Rows that hold every term of a query, ranked by cover density. index: as `terms` gives it; queries: query_id, term (distinct)."""
-    need = Window.partitionBy("query_id")
-    q = queries.select("query_id", "term", F.count("*").over(need).alias("need"), (F.row_number().over(need.orderBy("term")) - 1).alias("t"))
-    hits = index.join(q, "term").groupBy("query_id", "need", id_col).agg(F.count("*").alias("got"), F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("p"), F.col("t").alias("t"))))).alias("occurrences"))
-    scored = hits.where("got = need").select("query_id", id_col, F.round(cover_density(F.col("occurrences"), F.col("need")), 6).alias("score"))
+def keyword_topk(rows: DataFrame, queries: DataFrame, id_col: str, words: Column, k: int = 50) -> DataFrame:
+    """Rows that hold every term of a query, ranked by cover density. queries: query_id, term (distinct).
+
+    What holds all terms holds the rarest, so only rows with that one are read further; their places are found in the row."""
+    w = rows.select(id_col, words.alias("w"))
+    asked = queries.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    held = asked_only(w.select(id_col, F.explode(F.array_distinct("w")).alias("term")), queries)
+    df = held.groupBy("term").agg(F.count("*").alias("n"))
+    rare = queries.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("term"))
+    likely = held.join(rare, "term").select("query_id", id_col)
+    both = likely.join(asked, "query_id").join(w, id_col).where(F.size(F.array_intersect("w", "terms")) == F.size("terms"))
+    places = F.filter(F.transform("w", lambda x, i: F.struct((i + 1).alias("p"), (F.array_position("terms", x) - 1).alias("t"))), lambda x: x["t"] >= 0)
+    scored = both.select("query_id", id_col, F.round(cover_density(places, F.size("terms")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -120,8 +120,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 
 
 def _keyword(spark, sf_dir) -> DataFrame:
-    asked = _asked(spark, sf_dir)
-    return R.keyword_topk(R.terms(docs(spark, sf_dir), "doc_id", T.words(F.col("text")), asked), asked, "doc_id", 50)
+    return R.keyword_topk(docs(spark, sf_dir), _asked(spark, sf_dir), "doc_id", T.words(F.col("text")), 50)
 
 
 @query(_KEYWORD)
@@ -134,7 +133,7 @@ def keyword_search_english(spark, sf_dir):
     """As the store's full text search: stop words drop out, the rest is stemmed, on both sides; places count all words."""
     lexemes = lambda df: df.withColumn("w", stem_words(T.words(F.col("text"))))
     asked = lexemes(table(spark, sf_dir, "benchmark")).select(F.col("item_id").alias("query_id"), F.explode("w").alias("term")).where("term <> ''").distinct()
-    return R.keyword_topk(R.terms(lexemes(docs(spark, sf_dir)), "doc_id", F.col("w"), asked), asked, "doc_id", 50).select("query_id", "doc_id", "score", "rank")
+    return R.keyword_topk(lexemes(docs(spark, sf_dir)), asked, "doc_id", F.col("w"), 50).select("query_id", "doc_id", "score", "rank")
 
 
 @query(
