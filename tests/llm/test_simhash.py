@@ -1,10 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from vellum.llm import simhash
 from vellum.llm.common import Scratch
@@ -86,3 +88,41 @@ def test_operator_edge_cases(spark):
     assert {r.component for r in got if r.doc_id in (8, 9)} == {8}
     assert len(got) == 6
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def written_plans(monkeypatch):
+    """The plans of all tables that Scratch writes from now on."""
+    plans, write = [], Scratch.write
+
+    def recorded(self, df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "write", recorded)
+    return plans
+
+
+def test_nothing_goes_through_the_driver(spark, monkeypatch):
+    """Tables of multiplied rows look as small to Spark as their files; none may be broadcast."""
+    monkeypatch.setattr(simhash, "SHARED", 2)
+    monkeypatch.setattr(simhash, "DEEP", 4)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10485760", "10MB")
+    texts = [" ".join(f"w{i}" for i in range(400)) + f" {k}" for k in range(20)] + ["other words in here", None]
+    docs = spark.createDataFrame([Row(doc_id=k, text=t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    plans = written_plans(monkeypatch)
+    found = simhash.near_duplicates(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    got = found.collect()
+    assert [r.component for r in got] == brute_components([r.fp for r in got], [r.doc_id for r in got])
+    assert sum("Join" in p for p in plans) > 3
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
+def test_blocks_of_a_shared_half_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TABLE_BLOCK", 4)
+    monkeypatch.setattr(simhash, "PROBE_BLOCK", 4)
+    rows = spark.range(64).select(F.lit(0).alias("s"), F.lit(7).cast("long").alias("v"), F.col("id").alias("fp"), F.lit(64).cast("long").alias("n"))
+    found = simhash._grid(Scratch(spark, "test"), "grid", rows.withColumnRenamed("fp", "y"), rows.withColumnRenamed("fp", "x"), ["s", "v"], 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    grouped = plan[plan.index("FlatMapGroupsInPandas") :]
+    assert re.match(r"hashpartitioning\(s#\d+, v#\d+L, t#\d+, p#\d+", grouped[grouped.index("hashpartitioning(") :])

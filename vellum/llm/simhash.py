@@ -7,6 +7,8 @@ A half that many fingerprints share goes another, equally exact way: its table a
 grid of bounded blocks, and each block returns a spanning forest of its links instead of all pairs. In a half that very many
 share, the other half (at most three bits apart) is looked up the same way by its two quarters, one of which
 differs in at most one bit; half and quarter together leave 2^16 fingerprints at most, so the work has a linear bound.
+All joins are merge joins by hint: Spark takes a table whose rows were multiplied, as by a ball's 33 values, for as small as its
+file, and would broadcast it through the driver.
 
 Texts that are alike by 0.8 or more may lie further apart than such balls reach. Where `alike` is set, links that the wide
 fingerprints of sketches.py find and the sets of shingles confirm are added to those of the multi-index.
@@ -129,8 +131,8 @@ def _grid(scratch: Scratch, name: str, table: DataFrame, probes: DataFrame, keys
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = (
-        probes.drop("n").join(blocks, keys).select(*keys, all_of("nt").alias("t"), deal("x", "np").alias("p"), F.col("x").alias("fp"), F.lit(False).alias("entry"))
-        .unionAll(table.drop("n").join(blocks, keys).select(*keys, deal("y", "nt").alias("t"), all_of("np").alias("p"), F.col("y").alias("fp"), F.lit(True).alias("entry")))
+        probes.drop("n").join(blocks.hint("merge"), keys).select(*keys, all_of("nt").alias("t"), deal("x", "np").alias("p"), F.col("x").alias("fp"), F.lit(False).alias("entry"))
+        .unionAll(table.drop("n").join(blocks.hint("merge"), keys).select(*keys, deal("y", "nt").alias("t"), all_of("np").alias("p"), F.col("y").alias("fp"), F.lit(True).alias("entry")))
     )
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +140,8 @@ def _grid(scratch: Scratch, name: str, table: DataFrame, probes: DataFrame, keys
         a, b = _forest(fps[~entry], fps[entry], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return rows.groupBy(*keys, "t", "p").applyInPandas(block, "a bigint, b bigint")
+    # Dealt anew, or a key's blocks would all stay in the task that joined them.
+    return rows.repartition(*keys, "t", "p").groupBy(*keys, "t", "p").applyInPandas(block, "a bigint, b bigint")
 
 
 def _parted(rows: DataFrame, fp: str, reach: bool) -> DataFrame:
@@ -153,12 +156,16 @@ def _parted(rows: DataFrame, fp: str, reach: bool) -> DataFrame:
 def _met(scratch: Scratch, name: str, table: DataFrame, probes: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """Links (a, b) between table entries (keys, y) and probes (keys, x) of one key that lie within the radius."""
     shared = scratch.write(table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > SHARED), f"{name}-shared")
-    marked = table.join(shared, keys, "left")
+    marked = scratch.write(table.join(shared.hint("merge"), keys, "left"), f"{name}-marked")
+    hot = F.col("n").isNotNull()
     near = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)
-    cold = probes.join(marked.where(F.col("n").isNull()).drop("n"), keys).where(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # The probes are shuffled once: they meet the entries of keys that few share, and one row for each key that many share.
+    partners = marked.where(~hot).select(*keys, "y", "n").unionAll(shared.select(*keys, F.lit(None).cast("long").alias("y"), "n"))
+    met = scratch.write(probes.join(partners.hint("merge"), keys).where(hot | near).select(*keys, "x", "y", "n"), f"{name}-met")
+    cold = met.where(~hot).select(F.col("x").alias("a"), F.col("y").alias("b"))
     if shared.isEmpty():
         return cold
-    hot_probes, hot_table = scratch.write(probes.join(shared, keys), f"{name}-probes"), table.join(shared, keys)
+    hot_probes, hot_table = met.where(hot).drop("y"), marked.where(hot)
     if "u" in keys:  # at most 2^16 entries share half and quarter
         return cold.unionAll(_grid(scratch, name, hot_table, hot_probes, keys, radius))
     some = cold.unionAll(_grid(scratch, name, hot_table.where(F.col("n") <= DEEP), hot_probes.where(F.col("n") <= DEEP), keys, radius))
@@ -196,9 +203,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_co
         sets = lambda asked: shingle_sets(texts.join(nodes.select("node", "hash").join(asked, "node"), "hash").select("node", "text"), width)
         found = found.unionAll(rows.select(F.col("fp").alias("a"), F.col("node").alias("b")).distinct()).unionAll(sketches.links(scratch, nodes, sets))
     comps = components(scratch, found)
-    roots = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = distinct.join(comps.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = scratch.write(roots.groupBy("root").agg(F.min("least").alias("component")), "least")
-    classes = scratch.write(roots.join(least, "root").select("fp", "component"), "classes")
+    classes = scratch.write(roots.join(least.hint("merge"), "root").select("fp", "component"), "classes")
     return fps.join(classes.hint("merge"), "fp").select(F.col("id").alias(own_name(id_col, ("fp", "component"))), "fp", "component")
 
 
