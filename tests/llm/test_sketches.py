@@ -141,3 +141,26 @@ def test_components_are_those_of_the_exact_similarity(spark, monkeypatch, shared
     found = sketches.links(scratch, rows, lambda asked: sets.join(asked, "node"))
     got = {r.node: r.root for r in components(scratch, found).collect()}
     assert [got.get(k, k) for k in range(len(texts))] == root
+
+
+def test_nothing_goes_through_the_driver(spark, monkeypatch):
+    """Sketches and their exploded runs look far smaller to Spark than they are; none may be broadcast."""
+    monkeypatch.setattr(simhash, "SHARED", 2)
+    monkeypatch.setattr(sketches, "SHARED", 4)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10485760", "10MB")
+    long = [f"w{i}" for i in range(300)]
+    texts = [" ".join(long + [f"x{k}"]) for k in range(12)] + [" ".join([*long[:280], "y", "z"]), "other words in here", "other words in here", None]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plans, write = [], Scratch.write
+
+    def recorded(self, df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "write", recorded)
+    kept = simhash.one_of_each(docs)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 13, 15]
+    assert sum("Join" in p for p in plans) > 6
+    assert [p for p in plans if "Broadcast" in p] == []

@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_co
         nodes = scratch.write(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.first("runs").alias("runs"), F.min("hash").alias("hash")), "sketches")
         text = F.col(quoted(text_col)).cast("string")
         texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text")).groupBy("hash").agg(F.first("text").alias("text"))
-        sets = lambda asked: shingle_sets(texts.join(nodes.select("node", "hash").join(asked, "node"), "hash").select("node", "text"), width)
+        sets = lambda asked: shingle_sets(texts.join(nodes.select("node", "hash").join(asked.hint("merge"), "node").hint("merge"), "hash").select("node", "text"), width)
         found = found.unionAll(rows.select(F.col("fp").alias("a"), F.col("node").alias("b")).distinct()).unionAll(sketches.links(scratch, nodes, sets))
     comps = components(scratch, found)
     roots = distinct.join(comps.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -218,12 +218,12 @@ def one_of_each(docs: DataFrame, width: int = 5, radius: int = RADIUS, id_col: s
     places = scratch.write(found.select("place", "component"), "places")
     gone = scratch.write(places.where(F.col("place") != F.col("component")).select("place.*").distinct(), "gone")
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).alias("k"), F.xxhash64(F.col(quoted(text_col))).alias("th"))
-    kept = rows.join(gone, rows["k"].eqNullSafe(gone["i"]) & (rows["th"] == gone["h"]), "left_anti")
+    kept = rows.join(gone.hint("merge"), rows["k"].eqNullSafe(gone["i"]) & (rows["th"] == gone["h"]), "left_anti")
     # What is left of a component is the rows that share its first place: copies of one row under one id.
     twice = scratch.write(places.groupBy("place").count().where("count > 1").select("place.*"), "twice")
     if twice.isEmpty():
         return kept.select("row.*")
-    again = kept.join(twice, kept["k"].eqNullSafe(twice["i"]) & (kept["th"] == twice["h"]), "left_semi")
-    single = kept.join(twice, kept["k"].eqNullSafe(twice["i"]) & (kept["th"] == twice["h"]), "left_anti")
+    again = kept.join(twice.hint("merge"), kept["k"].eqNullSafe(twice["i"]) & (kept["th"] == twice["h"]), "left_semi")
+    single = kept.join(twice.hint("merge"), kept["k"].eqNullSafe(twice["i"]) & (kept["th"] == twice["h"]), "left_anti")
     one = again.groupBy("k", "th").agg(F.first("row").alias("row"))
     return single.select("row.*").unionAll(one.select("row.*"))

@@ -9,7 +9,8 @@ off; the sets of shingles decide about the rest. Without the sets, the distance
 
 A run that many share is compared in a grid of bounded blocks; each returns a spanning forest instead of its pairs.
 A pair that is connected already is not verified again.
-Runs with the same members are compared once. A text without words has all minima at their greatest value.
+Runs with the same members are compared once. All joins are merge joins by hint, as Spark takes sketches and their exploded
+runs for far smaller than they are and would broadcast them through the driver. A text without words has all minima at their greatest value.
 """
 
 from __future__ import annotations
@@ -140,11 +141,11 @@ def links(scratch: Scratch, sketches: DataFrame, sets: Callable[[DataFrame], Dat
     digest = [F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.lit(1 << 32))).alias("y")]
     shared = own.groupBy("v").agg(F.count("*").alias("n"), *digest).where(F.col("n") > 1).groupBy("n", "x", "y").agg(F.min("v").alias("v"))
     shared = scratch.write(shared.select("v", "n"), "runs")
-    members = scratch.write(own.join(shared, "v"), "members")
+    members = scratch.write(own.join(shared.hint("merge"), "v"), "members")
     wide = sketches.select("node", "wide")
     some = members.where(F.col("n") <= SHARED)
-    pairs = some.select("v", F.col("node").alias("a")).join(some.select("v", F.col("node").alias("b")), "v").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("l")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("r")), "b")
+    pairs = some.select("v", F.col("node").alias("a")).join(some.select("v", F.col("node").alias("b")).hint("merge"), "v").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("l")).hint("merge"), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("r")).hint("merge"), "b")
     far = sum((F.bit_count(F.col("l")[i].bitwiseXOR(F.col("r")[i])) for i in range(1, WORDS)), F.bit_count(F.col("l")[0].bitwiseXOR(F.col("r")[0])))
     cold = both.where(far <= (NEAR if sets else FAR)).select("a", "b")
     many = members.where(F.col("n") > SHARED)
@@ -152,7 +153,7 @@ def links(scratch: Scratch, sketches: DataFrame, sets: Callable[[DataFrame], Dat
         near = scratch.write(cold, "near")
         asked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).unionAll(many.select("node")).distinct()
         held = scratch.write(sets(asked), "sets")
-        both = near.join(held.select(F.col("node").alias("a"), F.col("set").alias("l")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("r")), "b")
+        both = near.join(held.select(F.col("node").alias("a"), F.col("set").alias("l")).hint("merge"), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("r")).hint("merge"), "b")
         cold = both.where(alike(F.size(F.array_intersect("l", "r")), F.size("l"), F.size("r"))).select("a", "b")
         wide = wide.join(held.hint("merge"), "node")
     if many.isEmpty():
