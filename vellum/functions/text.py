@@ -14,6 +14,12 @@ CHILD_MAX, CHILD_MIN = 512, 90
 SENTENCE = r"""(?<=[.!?])\s+(?=[A-Z"'\(])|(?<=\n)(?=\S)"""
 
 
+def ascii_words(pattern: str) -> str:
+    r"""The pattern with \b as in SQL's and RE2's: an edge of a word of ASCII letters, digits and underscores. Java counts other letters as well.
+    What stands before a group or a digit is a word's beginning, anything else its end."""
+    return re.sub(r"\\b(?=\(|\\d)", r"(?<![0-9A-Za-z_])", pattern).replace(r"\b", r"(?![0-9A-Za-z_])")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -85,7 +91,7 @@ LEGAL = r"(?i)\b(whereas|hereinafter|witnesseth)\b|\b(article\s+\d+|clause\s+\d+
 def doc_type(headings: Column, text: Column, has_images: Column) -> Column:
     """headings: all titles in lower case, joined; text: all text."""
     hits = sum((F.when(F.contains(headings, F.lit(w)), 1).otherwise(0) for w in ACADEMIC), F.lit(0))
-    base = F.when(hits >= 3, "research_paper").when(F.coalesce(text, F.lit("")).rlike(LEGAL), "contract").otherwise("general")
+    base = F.when(hits >= 3, "research_paper").when(F.coalesce(text, F.lit("")).rlike(ascii_words(LEGAL)), "contract").otherwise("general")
     return F.concat(base, F.when(has_images, "_with_images").otherwise(""))
 
 
@@ -149,10 +155,11 @@ STRONG_SQL = r"\b(sum|total|average|avg|mean|count|max|maximum|min|minimum|highe
 def query_class(query: Column) -> Column:
     """`sql` if signs of computation outnumber signs of meaning, else `semantic`."""
     q = strip(F.coalesce(query, F.lit("")))
-    n = lambda p: F.regexp_count(q, F.lit("(?i)" + p))
+    n = lambda p: F.regexp_count(q, F.lit("(?i)" + ascii_words(p)))
+    has = lambda p: q.rlike(ascii_words(p))
     compared = F.when(q.rlike(r"[<>=!]{1,2}\s*\d"), 2).otherwise(0)
     first = n(SQL_WORDS) + compared
-    signs = first + F.when(q.rlike(r"\b\d+(?:\.\d+)?\b") & (first > 0), 1).otherwise(0) + F.when(q.rlike("(?i)" + FRAME) & q.rlike("(?i)" + STRONG_SQL), 1).otherwise(0)
+    signs = first + F.when(has(r"\b\d+(?:\.\d+)?\b") & (first > 0), 1).otherwise(0) + F.when(has("(?i)" + FRAME) & has("(?i)" + STRONG_SQL), 1).otherwise(0)
     return F.when(signs > n(MEANING_WORDS), "sql").otherwise("semantic")
 
 

@@ -11,7 +11,7 @@ from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import ascii_words, strip
 from ..sources.sinks import latest
 
 # Verbs that change something.
@@ -21,7 +21,7 @@ UNSAFE = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "
 def looks_safe(sql: Column) -> Column:
     """The text rule: SELECT or WITH first, no unsafe word anywhere, one statement."""
     s = strip(F.regexp_replace(strip(sql), ";+$", ""))
-    return s.rlike(r"(?i)^\s*(SELECT|WITH)\b") & ~s.rlike(r"(?i)\b(" + "|".join(UNSAFE) + r")\b") & ~F.contains(s, F.lit(";"))
+    return s.rlike(ascii_words(r"(?i)^\s*(SELECT|WITH)\b")) & ~s.rlike(ascii_words(r"(?i)\b(" + "|".join(UNSAFE) + r")\b")) & ~F.contains(s, F.lit(";"))
 
 
 #: Logical nodes of queries; anything else is refused.
