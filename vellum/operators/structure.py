@@ -57,11 +57,14 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return m.select(id_col, (F.col("p") + 1).cast("long").alias("pos"), level.cast("long").alias("level"), F.trim(F.regexp_replace(F.regexp_replace("m", "^<[^>]*>", ""), r"\s+", " ")).alias("content"))
 
 
-def font_levels(spans: DataFrame) -> DataFrame:
-    """(document_key, ordinal, text, size, bold) -> level, by size against the size with most characters."""
+def font_levels(spans: DataFrame, numbered: bool = True) -> DataFrame:
+    """(document_key, ordinal, text, size, bold) -> level, by size against the size with most characters.
+
+    numbered: bold lines that begin as a numbered subsection are headings at any size."""
     sizes = spans.groupBy("document_key", "size").agg(F.sum(F.length("text")).alias("chars"), F.min("ordinal").alias("seen"))
     body = sizes.groupBy("document_key").agg(F.max_by("size", F.struct("chars", -F.col("seen"))).alias("body"))
-    level = F.when(F.col("size") > F.col("body") * 1.3, 1).when(((F.col("size") > F.col("body") * 1.1) & F.col("bold")) | (F.col("bold") & is_subsection(F.col("text"))), 2).otherwise(3)
+    minor = (F.col("size") > F.col("body") * 1.1) | (is_subsection(F.col("text")) if numbered else F.lit(False))
+    level = F.when(F.col("size") > F.col("body") * 1.3, 1).when(F.col("bold") & minor, 2).otherwise(3)
     return spans.join(body, "document_key").withColumn("level", level)
 
 
