@@ -294,18 +294,24 @@ def highlight_terms(query: str, match: Column, phrases: int = 3) -> Column:
     """Phrases of four words of the matched text that hold a word of the query, three at most, none overlapping; else four of its words."""
     sought = [w for w in query.lower().split() if len(w) > 2 and w not in UNSOUGHT]
     plain = F.regexp_replace(match, r"\[(?:Section|Clause):.*?\]\s*", "")
-    words = F.split(plain, r"\s+", -1)
-    clean = lambda i: F.trim(F.regexp_replace(F.array_join(F.slice(words, i + 1, F.lit(4)), " "), r"[^a-zA-Z0-9\s-]", ""))
-    fits = lambda p: (F.length(p) > 10) & (F.length(p) < 60) & F.exists(F.array(*map(F.lit, sought or ["\0"])), lambda w: F.contains(F.lower(p), w))
+    # A sought word has no space, so it lies in one word; only phrases around such words are looked at. All words are cleaned in one go.
+    words = F.split(F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"[^a-zA-Z0-9\s-]", ""), " ", -1)
+    holds = lambda p: reduce(lambda a, w: a | F.contains(p, F.lit(w)), sought, F.lit(False))
+    fits = lambda p: (F.length(p) > 10) & (F.length(p) < 60) & holds(F.lower(p))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
 
-    def step(s: Column, i: Column) -> Column:
-        taken = F.struct(F.concat(s["out"], F.array(clean(i))).alias("out"), (i + 4).alias("next"))
-        return F.when((i < s["next"]) | (F.size(s["out"]) >= phrases), s).when(fits(clean(i)), taken).otherwise(s)
+    def found(words: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            taken = lambda p: F.when(fits(p), F.struct(F.concat(s["out"], F.array(p)).alias("out"), (i + 4).alias("next"))).otherwise(s)
+            return F.when((i < s["next"]) | (F.size(s["out"]) >= phrases), s).otherwise(let(F.trim(F.array_join(F.slice(words, i + 1, F.lit(4)), " ")), taken))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
-    places = F.when(F.size(words) > 2, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    found = F.aggregate(places, start, step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, sought[:4])).cast("array<string>"))
+        last = F.size(words) - 3
+        near = lambda w, i: F.when((last >= 0) & (i <= last + 2) & holds(F.lower(w)), F.sequence(F.greatest(i - 3, F.lit(0)), F.least(i, last)))
+        places = F.flatten(F.filter(F.transform(words, near), lambda x: x.isNotNull()))
+        return F.aggregate(places, start, step, lambda s: s["out"])
+
+    # Inside a lambda an expression is worked out at each step, so what all steps share is a variable.
+    return let(let(words, found), lambda out: F.when(F.size(out) > 0, out).otherwise(F.array(*map(F.lit, sought[:4])).cast("array<string>")))
 
 
 # Patterns of facts, with what their groups make.
