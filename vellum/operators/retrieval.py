@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +22,8 @@ from .folds import budgeted, greedy_lines
 
 #: Vector queries of one block, and terms of queries that may be broadcast; more terms go by a shuffled join.
 QUERY_BLOCK, BROADCAST_TERMS = 4096, 500_000
+#: Scores that a task holds at once (8 MB), and found pairs beyond which it keeps only the best.
+SCORES, PAIRS = 1 << 20, 1 << 19
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,49 +48,96 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _floor(scores: np.ndarray, k: int, groups: np.ndarray, each: int | None) -> np.ndarray:
-    """Each query's k-th best score (-inf: fewer), of the best `each` of every group if that is set."""
-    if each is not None:
-        best = [np.sort(scores[:, groups == g], axis=1)[:, -each:] for g in np.unique(groups)]
-        scores = np.concatenate(best, axis=1)
-    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
+def _places(*keys: np.ndarray) -> np.ndarray:
+    """Each row's place, from 0, among the rows before it that have the same keys; rows are sorted by the keys."""
+    first = np.ones(len(keys[0]), dtype=bool)
+    first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.arange(len(first))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+class _Best:
+    """The best k rows of each query so far, of each group `each` at most. Ties go to the lesser id. What is held doesn't grow with the rows."""
+
+    def __init__(self, queries: int, k: int, each: int | None):
+        self.k, self.each, self.parts, self.held = k, each, [], 0
+        self.most = max(PAIRS, 2 * queries * k)
+        self.least, self.last = np.full(queries, -np.inf), None  # score and id of each query's k-th row
+
+    def add(self, scores: np.ndarray, ids: pa.Array, groups: pa.Array | None) -> None:
+        if self.each is None and len(ids) >= self.k:  # the k-th best score of these rows alone
+            floor = np.maximum(self.least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        else:
+            floor = self.least
+        q, d = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        if self.last is not None:  # of rows as good as the k-th only those with a lesser id
+            tied = np.nonzero(scores[q, d] == self.least[q])[0]
+            lost = pc.greater(ids.take(pa.array(d[tied])), self.last.take(pa.array(q[tied])))
+            q, d = (np.delete(x, tied[pc.fill_null(lost, False).to_numpy(zero_copy_only=False)]) for x in (q, d))
+        if len(q):
+            self.parts.append(pa.table({"q": q, "score": scores[q, d], "id": ids.take(pa.array(d))} | ({"group": groups.take(pa.array(d))} if groups is not None else {})))
+            self.held += len(q)
+        if self.held > self.most:
+            self.best()
+
+    def best(self) -> pa.Table | None:
+        if not self.parts:
+            return None
+        t = pa.concat_tables(self.parts)
+        order = [("q", "ascending"), ("score", "descending"), ("id", "ascending")]
+        if self.each is not None:
+            # A null group's rows have one number, as in a window.
+            codes = pc.dictionary_encode(t["group"].combine_chunks(), null_encoding="encode").indices
+            t = t.append_column("code", codes).sort_by([order[0], ("code", "ascending"), *order[1:]])
+            t = t.filter(pa.array(_places(t["q"].to_numpy(), t["code"].to_numpy()) < self.each)).drop_columns("code")
+        t = t.sort_by(order)
+        at = _places(t["q"].to_numpy())
+        full = np.nonzero(at == self.k - 1)[0]
+        last = np.full(len(self.least), -1)
+        last[t["q"].to_numpy()[full]] = full
+        self.least[last >= 0] = t["score"].to_numpy()[last[last >= 0]]
+        self.last = t["id"].combine_chunks().take(pa.array(last, mask=last < 0))
+        t = t.filter(pa.array(at < self.k)).combine_chunks()
+        self.parts, self.held = [t], t.num_rows
+        return t
 
 
 def vector_topk(rows: DataFrame, queries: DataFrame, id_col: str, k: int = 50, unlike: tuple[str, str] | None = None, digits: int = 6, group: str | None = None, each: int | None = None) -> DataFrame:
     """rows (id, embedding), queries (query_id, q) -> query_id, id, score (cosine), rank. Ties go to the lesser id.
 
-    unlike: a column of the rows and one of the queries that must differ. group, each: at most `each` rows of every value of the
-    rows' column `group` are ranked, and the column comes out. Null embeddings are left out; vectors have one length."""
+    unlike: a column of the rows and one of the queries that must differ (nulls differ from nothing). group, each: at most `each` rows of every value
+    of the rows' column `group` are ranked, and the column comes out. Null embeddings are left out; vectors have one length."""
     spark = rows.sparkSession
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), id_col: rows.schema[id_col].dataType.simpleString()} | ({group: rows.schema[group].dataType.simpleString()} if group else {})
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", score double"
     own = [id_col, "embedding", *dict.fromkeys(c for c in ((unlike or [None])[0], group) if c and c != id_col)]
     asked = queries.where("q IS NOT NULL").select("query_id", "q", *([F.col(unlike[1]).alias("unlike")] if unlike else []))
+    if unlike:
+        asked = asked.withColumn("unlike", F.col("unlike").cast(rows.schema[unlike[0]].dataType)).where("unlike IS NOT NULL")
+        rows = rows.where(F.col(unlike[0]).isNotNull())
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for block in range(parts):
         held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == block).toArrow()
         if not len(held):
             continue
-        sent = spark.sparkContext.broadcast((held["query_id"].combine_chunks(), _matrix(held["q"]), np.array(held["unlike"].to_pylist(), dtype=object) if unlike else None))
+        named = pc.dictionary_encode(held["unlike"].combine_chunks()) if unlike else None
+        sent = spark.sparkContext.broadcast((held["query_id"].combine_chunks(), _matrix(held["q"]), named))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix, others = sent.value
-            least, kept = np.full(len(ids), -np.inf), []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                scores = np.round(matrix @ _matrix(batch.column("embedding")).T, digits)
-                if unlike:
-                    scores[others[:, None] == np.array(batch.column(unlike[0]).to_pylist(), dtype=object)[None, :]] = -np.inf
-                groups = np.unique(np.array([str(x) for x in batch.column(group).to_pylist()]), return_inverse=True)[1] if group else np.zeros(0)
-                least = np.maximum(least, _floor(scores, k, groups, each))
-                q, d = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-                at = pa.array(d)
-                kept.append((q, {c: batch.column(c).take(at) for c in kinds if c != "query_id"}, scores[q, d]))
-            for q, columns, s in kept:
-                at = np.nonzero(s >= least[q])[0]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[at])), *(c.take(pa.array(at)) for c in columns.values()), pa.array(s[at])], names=[*kinds, "score"])
+            ids, matrix, named = sent.value
+            best, step = _Best(len(ids), k, each), max(1, SCORES // len(ids))
+            for whole in batches:
+                for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                    scores = np.round(matrix @ _matrix(batch.column("embedding")).T, digits)
+                    scores[np.isnan(scores)] = -np.inf
+                    if unlike:
+                        other = pc.fill_null(pc.index_in(batch.column(unlike[0]), named.dictionary), -1).to_numpy(zero_copy_only=False)
+                        scores[named.indices.to_numpy()[:, None] == other[None, :]] = -np.inf
+                    best.add(scores, batch.column(id_col), batch.column(group) if group else None)
+            made = best.best()
+            for part in made.to_batches(max_chunksize=1 << 16) if made else ():
+                yield pa.RecordBatch.from_arrays([ids.take(part.column("q")), part.column("id"), *([part.column("group")] if group else []), part.column("score")], names=[*kinds, "score"])
 
         part = rows.where("embedding IS NOT NULL").select(*own).mapInArrow(run, schema)
         found = part if found is None else found.unionAll(part)
