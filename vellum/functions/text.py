@@ -21,17 +21,19 @@ def ascii_words(pattern: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without outer white space; a pattern would look at every inner space as well."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    """Single spaces for all white space; single spaces themselves are left alone."""
+    return strip(F.regexp_replace(c, r"[\t\n\x0B\f\r]\s*| \s+", " "))
 
 
 def normalize(c: Column) -> Column:
     """Line ends to \\n, runs of blanks to one, at most one empty line in a row, no outer space."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(c, r"\t[ \t]*| [ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def slug(c: Column, sep: str = "-", default: str = "document") -> Column:
@@ -207,8 +209,8 @@ def duplicate_ratios(parent: Column, children: Column) -> Column:
     return let(collapse(F.coalesce(parent, F.lit(""))), lambda a: F.transform(children, lambda c: overlap(a, collapse(F.coalesce(c, F.lit(""))))))
 
 
-def is_duplicate_child(parent: Column, child: Column) -> Column:
-    a, b = collapse(F.coalesce(parent, F.lit(""))), collapse(F.coalesce(child, F.lit("")))
+def is_duplicate_of(a: Column, b: Column) -> Column:
+    """Of two texts with single spaces: whether a child says about all that its parent says."""
     return (a == "") | (b == "") | (a == b) | (F.contains(a, b) & (F.length(b) >= F.length(a) * 0.95))
 
 

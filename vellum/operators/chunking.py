@@ -82,9 +82,9 @@ def with_document_metadata(chunks: DataFrame, documents: DataFrame) -> DataFrame
     return chunks.join(documents.select("document_key", "document_type", "tags", "cabinets"), "document_key", "left")
 
 
-def chunked(documents: DataFrame, mode: str = "template", ask: Ask | None = None) -> DataFrame:
+def chunked(documents: DataFrame, mode: str = "template", ask: Ask | None = None, judged: bool = False) -> DataFrame:
     """Rows of chunks: document_key, document_name, doc_type, page_number, section, chunk_type, parent_id, ordinal, content,
-    enriched_content, start_line, end_line, lines, id."""
+    enriched_content, start_line, end_line, lines, id; if judged, also duplicate_ratio, a child's against its parent (null without one)."""
     s = sections_of(documents).withColumnRenamed("section", "sec")
     kind = F.coalesce("doc_type", F.lit("general"))
     paper, contract = F.contains(kind, F.lit("research_paper")), kind == "contract"
@@ -108,15 +108,22 @@ def chunked(documents: DataFrame, mode: str = "template", ask: Ask | None = None
     listed = F.col("sec.section_type") == "list"
     split = full.withColumn("cut", recursive_split(F.when(plain & ~short_clause & ~listed, F.col("body"))))
     pieces = F.when(short_clause, F.array("body")).when(listed, folds.packed_list(F.col("body"))).otherwise(F.col("cut"))
-    fit = F.filter(F.transform(pieces, T.normalize), lambda c: (F.length(c) >= T.CHILD_MIN) & ~(F.col("paper") & T.is_duplicate_child(F.col("body"), c)))
+    distinct = lambda a: F.filter(F.transform(pieces, T.normalize), lambda c: (F.length(c) >= T.CHILD_MIN) & ~(F.col("paper") & T.is_duplicate_of(a, T.collapse(F.coalesce(c, F.lit(""))))))
+    fit = T.let(T.collapse(F.coalesce("body", F.lit(""))), distinct)
     kids = F.when(short_clause, F.array("body")).when(F.col("paper") & (F.size(fit) == 0), F.array("body")).otherwise(fit)
     lines = F.col("sec.lines")
     start, stop = _line_range(lines)
-    chunk = lambda kind, parent, text, lines, a, b: F.struct(F.lit(kind).alias("chunk_type"), parent.alias("parent_id"), text.alias("content"), lines.alias("lines"), a.alias("start_line"), b.alias("end_line"))
+    own = F.concat("prefix", "body")
 
-    def child(c: Column) -> Column:
+    def chunk(kind: str, parent: Column, text: Column, lines: Column, a: Column, b: Column, ratio: Column | None = None) -> Column:
+        more = [(F.lit(None) if ratio is None else ratio).cast("double").alias("duplicate_ratio")] if judged else []
+        return F.struct(F.lit(kind).alias("chunk_type"), parent.alias("parent_id"), text.alias("content"), lines.alias("lines"), a.alias("start_line"), b.alias("end_line"), *more)
+
+    def child(c: Column, parent: Column) -> Column:
         hit = F.when(short_clause, lines).otherwise(matching_lines(c, lines))
-        return chunk("child", F.col("parent_id"), F.concat("prefix", c), hit, *_line_range(hit))
+        text = F.concat("prefix", c)
+        ratio = T.let(T.collapse(text), lambda t: T.overlap(parent, t)) if judged else None
+        return T.let(hit, lambda h: chunk("child", F.col("parent_id"), text, h, *_line_range(h), ratio))
 
     zero, none = F.lit(0), F.lit(None).cast("string")
     page = F.col("page_number").cast("string")
@@ -124,7 +131,7 @@ def chunked(documents: DataFrame, mode: str = "template", ask: Ask | None = None
     every = (
         F.when(is_image, F.array(chunk("child", none, F.concat(F.lit("[Figure on page "), page, F.lit("]: "), F.col("sec.content")), lines, zero, zero)))
         .when(is_table, F.array(chunk("child", F.col("parent_id"), table_text, lines, zero, zero)))
-        .otherwise(F.concat(F.array(chunk("parent", F.col("parent_id"), F.concat("prefix", "body"), lines, start, stop)), F.transform(kids, child)))
+        .otherwise(F.concat(F.array(chunk("parent", F.col("parent_id"), own, lines, start, stop)), T.let(T.collapse(own), lambda parent: F.transform(kids, lambda c: child(c, parent)))))
     )
     flat = split.select("document_key", "document_name", "title", "doc_type", "page_number", "s_idx", F.col("section_name").alias("section"), F.posexplode(every).alias("ordinal", "c")).select("*", "c.*").drop("c")
     ident = T.chunk_id(F.col("document_key"), F.concat_ws(":", F.col("page_number").cast("string"), F.col("s_idx").cast("string"), F.col("ordinal").cast("string")), F.col("content"))
@@ -153,13 +160,17 @@ BOUNDS = {"parents": ("max_parents", "parent count"), "children": ("max_children
 def evaluated(chunks: DataFrame, expectations: DataFrame | None = None) -> DataFrame:
     """Counts for each document: parents, children, duplicates, short parents, suspicious titles, unenriched, tables; with
     expectations (document_key, expectations: the struct of structured JSON) also forbidden hits (parents only), missing sections, failures
-    and whether it passes. Without them, parents are short below 140 characters."""
-    parents = chunks.where("chunk_type = 'parent'").select("parent_id", F.col("content").alias("parent_text"))
-    j = chunks.join(parents, "parent_id", "left")
+    and whether it passes. Without them, parents are short below 140 characters. Chunks that come judged need no join with their parents."""
+    if "duplicate_ratio" in chunks.columns:
+        j, ratio = chunks, F.col("duplicate_ratio")
+    else:
+        parents = chunks.where("chunk_type = 'parent'").select("parent_id", F.col("content").alias("parent_text"))
+        j = chunks.join(parents, "parent_id", "left")
+        ratio = F.when(F.col("parent_text").isNotNull(), T.duplicate_ratio(F.col("parent_text"), F.col("content")))
     is_parent, is_child = F.col("chunk_type") == "parent", F.col("chunk_type") == "child"
     section = T.strip(F.coalesce("section", F.lit("")))
     odd = F.startswith(section, F.lit("[body]")) | section.rlike("^[^A-Z0-9]") | ((F.size(F.split(section, r"\s+")) <= 2) & F.endswith(section, F.lit(".")))
-    dup = is_child & F.col("parent_text").isNotNull() & (T.duplicate_ratio(F.col("parent_text"), F.col("content")) >= 0.9)
+    dup = is_child & (ratio >= 0.9)
     least, hits = F.lit(PARENT_MIN), F.lit(0)
     if expectations is not None:
         j = j.join(expectations.select("document_key", "expectations"), "document_key", "left")

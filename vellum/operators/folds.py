@@ -69,15 +69,20 @@ def _replace_last(acc: Column, x: Column) -> Column:
 def prepared_sections(sections: Column, merge_max: int = 220, stub_max: int = 120) -> Column:
     """Heading stubs and tiny neighbours of one topic merge; images and tables are barriers; blank sections go."""
     barrier = lambda s: s["section_type"].isin("image", "table")
-    low = lambda s: F.lower(strip(F.coalesce(s["title"], F.lit(""))))
+    name = lambda s: strip(F.coalesce(s["title"], F.lit("")))
+    none = lambda t: (t == "") | ((F.length(t) == 6) & t.rlike(r"(?i)^\[body\]$"))
 
     def step(acc: Column, x: Column) -> Column:
+        # What several conditions read is worked out once.
         p = F.try_element_at(acc, F.lit(-1))
-        content, before = normalize(x["content"]), normalize(p["content"])
-        same = strip(F.coalesce(p["title"], F.lit(""))) == strip(F.coalesce(x["title"], F.lit("")))
+        read = F.struct(p.alias("p"), normalize(x["content"]).alias("content"), normalize(p["content"]).alias("before"), name(x).alias("own"), name(p).alias("title"))
+        return let(read, lambda v: judged(acc, x, v["p"], v["content"], v["before"], v["own"], v["title"]))
+
+    def judged(acc: Column, x: Column, p: Column, content: Column, before: Column, own: Column, title: Column) -> Column:
+        same = title == own
         stub = same & (F.length(before) <= stub_max) & p["level"].isin(1, 2, 3)
         tiny = (F.length(before) <= merge_max) | (F.length(content) <= merge_max)
-        topic = (same | low(x).isin("[body]", "") | low(p).isin("[body]", "")) & ~(x["level"].isin(1, 2) & ~same)
+        topic = (same | none(own) | none(title)) & ~(x["level"].isin(1, 2) & ~same)
         merges = (F.size(acc) > 0) & ~barrier(p) & (stub | (tiny & topic))
         joined = _section(p["title"], F.least(p["level"], x["level"]), merge_text(p["content"], x["content"]), F.when(x["section_type"] == "list", F.lit("list")).otherwise(p["section_type"]), F.concat(p["lines"], x["lines"]))
         kept = F.concat(acc, F.array(_section(x["title"], x["level"], content, x["section_type"], x["lines"])))
