@@ -145,9 +145,10 @@ def semantic_chunks(sentences: DataFrame, percentile: float = 0.25) -> DataFrame
     from .retrieval import cosine
 
     order = Window.partitionBy("doc_id").orderBy("pos")
-    alike = sentences.withColumn("sim", cosine(F.lag("embedding").over(order), F.col("embedding")))
-    limit = alike.groupBy("doc_id").agg(F.percentile("sim", F.lit(percentile)).alias("limit"))
-    cut = alike.join(limit, "doc_id").withColumn("group", F.sum((F.coalesce(F.col("sim") < F.col("limit"), F.lit(False))).cast("int")).over(order))
+    # All that follows is by document, so rows are exchanged once and embeddings are worked out once.
+    alike = sentences.withColumn("sim", cosine(F.lag("embedding").over(order), F.col("embedding"))).drop("embedding")
+    limit = F.percentile("sim", F.lit(percentile)).over(Window.partitionBy("doc_id"))
+    cut = alike.withColumn("limit", limit).withColumn("group", F.sum((F.coalesce(F.col("sim") < F.col("limit"), F.lit(False))).cast("int")).over(order))
     joined = cut.groupBy("doc_id", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("chunk"))
     ordered = joined.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "chunk"))), lambda s: s["chunk"]).alias("chunks"))
     return ordered.select("doc_id", F.posexplode(folds.limited(F.col("chunks"), T.sentences)).alias("pos", "chunk"))
